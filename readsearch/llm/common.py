@@ -49,3 +49,20 @@ def pieces(batches: Iterator, limit: int = 8 << 20) -> Iterator:
         each = max(1, int(batch.num_rows * limit / max(batch.nbytes, 1)))
         for at in range(0, batch.num_rows, each):
             yield batch.slice(at, each)
+
+
+def text_hash(text: Column) -> Column:
+    """Tells rows of one id apart; null has a value of its own."""
+    return F.xxhash64(text)
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, repeated: bool) -> DataFrame:
+    """The rows of ``docs``, whole, whose id and text hash are in ``keys``
+    (keep_id, keep_th); null ids match null.  With ``repeated`` rows alike in
+    both are kept once."""
+    names = docs.columns
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col(id_col).cast("long").alias("_id"), text_hash(F.col(text_col)).alias("_th"))
+    kept = boxed.join(keys, F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_th") == F.col("keep_th")), "left_semi")
+    if repeated:
+        kept = kept.dropDuplicates(["_id", "_th"])
+    return kept.select(*[F.col("_doc")[c].alias(c) for c in names])

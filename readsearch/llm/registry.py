@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, exact, langid, mixing, quality, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": simhash.op1_simhash}
+    return {
+        "op1_simhash": simhash.op1_simhash,
+        "op2_quality": quality.op2_quality,
+        "op3_exact": exact.op3_exact,
+        "op4_substring": substring.op4_substring,
+        "op5_bpe": bpe.op5_bpe,
+        "op6_langid": langid.op6_langid,
+        "op7_mixing": mixing.op7_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality": quality.OP2_SQL, "op3_exact": exact.OP3_SQL, "op4_substring": substring.OP4_SQL, "op7_mixing": mixing.OP7_SQL}

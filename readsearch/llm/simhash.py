@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored
+from .common import keep_rows, pieces, stored, text_hash
 from .components import roots
 
 BITS, REACH, BLOCKS, PIVOTS, CHUNK, SHINGLE = 64, 3, 5, 32, 256, 3
@@ -69,15 +69,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long): one row per row; a null text counts as empty (zero)."""
+    """(doc_id, th, fp long): one row per row, th the text's hash; a null text counts as empty (zero)."""
 
     def run(batches):
         for b in pieces(batches):
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(fps.view(np.int64))], ["doc_id", "th", "fp"])
 
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "utf-8").alias("t"))
-    return ids.mapInArrow(run, "doc_id long, fp long")
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "utf-8").alias("t"), text_hash(F.col(text_col)).alias("th"))
+    return ids.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def bucket_keys(fps: DataFrame) -> DataFrame:
@@ -167,6 +167,18 @@ def links(fps: DataFrame) -> DataFrame:
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp").mapInArrow(_links, "a long, b long")
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their fingerprint, and fingerprints with the row that stands for their group."""
+    rows = stored(fingerprints(docs, id_col, text_col, shingle))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("th")))
+    groups = stored(rows.groupBy("fp").agg(first.alias("first")))
+    linked = roots(links(groups))
+    rooted = stored(groups.join(linked.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "first"))
+    least = stored(rooted.groupBy("root").agg(F.min("first").alias("whole")))
+    classes = rooted.join(least, "root").select("fp", "whole")
+    return rows, stored(groups.join(classes, "fp", "left").select("fp", F.coalesce("whole", "first").alias("first")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id, fp): one row per row of ``docs``.
 
@@ -176,14 +188,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without an id take part and are null in doc_id (a group of such rows only
     has a null component).  Other columns of ``docs`` are never read.
     """
-    rows = stored(fingerprints(docs, id_col, text_col, shingle))
-    groups = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    linked = roots(links(groups))
-    rooted = stored(groups.join(linked.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "first"))
-    least = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    named = stored(groups.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+    rows, classes = _classes(docs, id_col, text_col, shingle)
+    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"), "fp")
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row of each group, whole: that with the smallest id, ids before null."""
+    rows, classes = _classes(docs, id_col, text_col, shingle)
+    keys = stored(classes.select(F.col("first.id").alias("keep_id"), F.col("first.th").alias("keep_th")).distinct())
+    repeated = not rows.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return keep_rows(docs, keys, id_col, text_col, repeated)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
