@@ -2,10 +2,224 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fuzzy, kana, match, query, text
+from ..operators import complete, highlight, index, rank, store
+from ..sources import dictionary, entries
+from ..streaming.opens import open_counts
+from . import fixtures as X
+
+QUERY, SUBSTRING = "ner", "the"
+VOWELS = ("io", "ai", "on")
+Q = Callable[[SparkSession, str], DataFrame]
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _entries(spark: SparkSession, sf_dir: str, indexed: bool = False) -> DataFrame:
+    rows = entries.page_entries(_t(spark, sf_dir, "pages"), _t(spark, sf_dir, "events"))
+    return index.with_index(rows, "entry_id", "title") if indexed else rows
+
+
+def _dictionary(spark: SparkSession) -> DataFrame:
+    return dictionary.parse(spark.createDataFrame(list(enumerate(X.DICTIONARY_LINES)), "line_no long, line string"))
+
+
+def _joined(c: str) -> F.Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+
+
+def extract_title(s, d):
+    return _entries(s, d).select("entry_id", "title")
+
+
+def title_fallback(s, d):
+    pages = _t(s, d, "pages")
+    real = pages.select("url", text.page_title(F.col("html")).alias("title")).withColumn("case", F.lit("page"))
+    bare = pages.select("url", F.lit("").alias("title")).withColumn("case", F.lit("bare"))
+    given = s.createDataFrame([(u, t) for u, t, _ in X.ADDRESSES], "url string, title string").withColumn("case", F.lit("given"))
+    rows = real.unionByName(bare).unionByName(given)
+    return rows.select("case", "url", text.title_or_domain(F.col("title"), F.col("url")).alias("shown"))
+
+
+def empty_query_by_count(s, d):
+    return rank.search(_entries(s, d), "")
+
+
+def substring_match_scored(s, d):
+    rows = _entries(s, d)
+    at = match.plain_start(F.col("title"), SUBSTRING)
+    return rows.select("entry_id", at.cast("long").alias("start"), match.score(F.lit(len(SUBSTRING)), at, F.length("title")).alias("score")).where("start IS NOT NULL")
+
+
+def substring_highlight(s, d):
+    at = match.plain_start(F.col("title"), SUBSTRING)
+    rows = _entries(s, d).where(at.isNotNull()).select("entry_id", match.plain_positions(F.col("title"), at, len(SUBSTRING)).alias("lit"))
+    return rows.select("entry_id", _joined("lit"))
+
+
+def document_substring(s, d):
+    """Substring search over whole documents, best first within the top 100."""
+    at = match.plain_start(F.col("text"), SUBSTRING)
+    rows = _t(s, d, "documents").select("doc_id", match.score(F.lit(len(SUBSTRING)), at, F.length("text")).alias("score")).where("score IS NOT NULL")
+    return rank.ranked(rows, [F.desc("score"), F.asc("doc_id")], 100).select("rank", "doc_id", "score")
+
+
+def ascii_index_morae(s, d):
+    return _entries(s, d, True).select("entry_id", _joined("morae"), F.size("segments").cast("long").alias("n_segments"))
+
+
+def window_match_vowels(s, d):
+    rows = index.with_index(_entries(s, d), "entry_id", "title")
+    found = rank.batch_search(rows, list(VOWELS), "entry_id", "title").where("path = 'mora'")
+    return found.select("query", "entry_id", F.col("start").cast("long").alias("start"), "score")
+
+
+def fuzzy_membership(s, d):
+    return _entries(s, d).where(rank.fuzzy_best(QUERY).isNotNull()).select("entry_id")
+
+
+def fuzzy_score_by_score(s, d):
+    return rank.search(_entries(s, d), QUERY, "fuzzy", "by_score")
+
+
+def fuzzy_score_by_count(s, d):
+    return rank.search(_entries(s, d), QUERY, "fuzzy", "by_count")
+
+
+def reading_mode_by_count(s, d):
+    return rank.search(_entries(s, d, True), SUBSTRING, "reading")
+
+
+def combined_rank(s, d):
+    return rank.search(_entries(s, d, True), SUBSTRING, "combined")
+
+
+def combined_top_k(s, d):
+    return rank.search(_entries(s, d, True), QUERY, "combined", limit=50)
+
+
+def part_rank(s, d):
+    """Fuzzy ranking of part names, of which many tie."""
+    parts = _t(s, d, "part").select(F.col("p_partkey").alias("entry_id"), F.lit("app").alias("type"), F.col("p_name").alias("title"), F.lit(None).cast("string").alias("url"), F.col("p_type").alias("command"), F.col("p_size").cast("long").alias("access_count"))
+    return rank.search(parts, "an", "fuzzy", limit=200)
+
+
+def kana_to_morae(s, d):
+    rows = s.createDataFrame([(k,) for k in X.KANA], "kana string")
+    return rows.select("kana", kana.morae(kana.katakana_to_hiragana(F.col("kana"))).alias("morae")).select("kana", _joined("morae"))
+
+
+def query_decode(s, d):
+    return s.createDataFrame([(k,) for k in X.QUERIES], "query string").select("query", query.decode_column(F.col("query")).alias("morae")).select("query", _joined("morae"))
+
+
+def dictionary_first_wins(s, d):
+    return _dictionary(s).select("word", _joined("morae"))
+
+
+def longest_match(s, d):
+    found = index.longest_match(s.createDataFrame([(r,) for r in X.RUNS], "run string"), _dictionary(s))
+    return found.select("run", F.array_join(F.transform("units", lambda u: F.substring(F.col("run"), u["s"] + 1, u["e"] - u["s"])), "|").alias("words"))
+
+
+def _matches(s: SparkSession) -> DataFrame:
+    texts = s.createDataFrame([(t,) for t in dict.fromkeys(m[0] for m in X.MATCHES)], "text string")
+    rows = index.with_index(texts, "text", "text", _dictionary(s))
+
+    def one(t, q):
+        m = match.matched(F.col("text"), F.col("morae"), q)
+        return F.when(F.col("text") == t, F.struct(F.lit(q).alias("query"), m.alias("m"), match.positions(F.col("text"), F.col("segments"), m, q).alias("lit")))
+
+    found = F.array(*[one(t, q) for t, q, *_ in X.MATCHES])
+    return rows.select("text", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("text", "x.query", "x.m", "x.lit")
+
+
+def reading_match_fixture(s, d):
+    return _matches(s).select("text", "query", "m.path", F.col("m.start").cast("long").alias("start"), "m.score")
+
+
+def highlight_fixture(s, d):
+    return _matches(s).select("text", "query", _joined("lit"))
+
+
+def _complete(s, leaf, kind):
+    rows = complete.candidates(s.createDataFrame(X.LISTING, "name string, is_dir boolean"), leaf, kind, _dictionary(s), "d/")
+    return rows.select(F.lit(leaf).alias("leaf"), F.lit(kind).alias("kind"), "rank", "candidate")
+
+
+def complete_rank(s, d):
+    out = _complete(s, "", "dir")
+    for leaf, kind in (("ap", "dir"), ("te", "any"), ("test", "any"), ("", "file")):
+        out = out.unionByName(_complete(s, leaf, kind))
+    return out
+
+
+def complete_names(s, d):
+    """Completion over all customer names, as if they were files."""
+    names = _t(s, d, "customer").select(F.col("c_name").alias("name"), (F.col("c_custkey") % 2 == 0).alias("is_dir"))
+    return complete.candidates(names, "00", "dir", None, "c/").select("rank", "candidate")
+
+
+def split_token(s, d):
+    return s.createDataFrame([(t[0],) for t in X.TOKENS], "token string").select("token", text.split_token(F.col("token")).alias("x")).select("token", "x.prefix", "x.leaf")
+
+
+def format_candidate(s, d):
+    rows = s.createDataFrame([c[:3] for c in X.CANDIDATES], "prefix string, name string, is_dir boolean")
+    return rows.select("prefix", "name", text.format_candidate(F.col("prefix"), F.col("name"), F.col("is_dir")).alias("candidate"))
+
+
+def add_if_absent(s, d):
+    rows = _entries(s, d).where("entry_id % 2 = 0")
+    return store.add_if_absent(rows, _t(s, d, "pages").select("url", "html")).select("entry_id", "title", "url", "access_count")
+
+
+def increment_counts(s, d):
+    clicks = _t(s, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("entry_id"))
+    return store.increment(_entries(s, d), clicks).select("entry_id", "access_count")
+
+
+def delete_reindex(s, d):
+    rows = _entries(s, d)
+    return store.ordinals(store.delete(rows, rows.where("access_count % 3 = 0").select("entry_id")))
+
+
+def highlight_spans(s, d):
+    rows = _entries(s, d, True)
+    cut = highlight.spans(F.col("title"), highlight.title_positions(SUBSTRING, "reading"))
+    return rows.select("entry_id", F.explode(cut).alias("x")).select("entry_id", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), "x.lit")
+
+
+def display(s, d):
+    rows = _entries(s, d, True)
+    shown = highlight.display_rows(rank.hits(rows, rank.search(rows, QUERY, limit=50)), QUERY)
+    return shown.select("rank", "entry_id", "prefix", F.size("title_spans").cast("long").alias("n_title_spans"), F.size("secondary_spans").cast("long").alias("n_secondary_spans"))
+
+
+def hourly_opens(s, d):
+    return open_counts(_t(s, d, "events"))
+
+
+_QUERIES: list[Q] = [
+    extract_title, title_fallback, empty_query_by_count, substring_match_scored, substring_highlight, document_substring, ascii_index_morae, window_match_vowels,
+    fuzzy_membership, fuzzy_score_by_score, fuzzy_score_by_count, reading_mode_by_count, combined_rank, combined_top_k, part_rank, kana_to_morae, query_decode,
+    dictionary_first_wins, longest_match, reading_match_fixture, highlight_fixture, complete_rank, complete_names, split_token, format_candidate, add_if_absent,
+    increment_counts, delete_reindex, highlight_spans, display, hourly_opens,
+]
+
+
+def queries() -> dict[str, Q]:
+    return {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracle import SQL
+
+    return dict(SQL)
