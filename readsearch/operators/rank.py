@@ -39,19 +39,21 @@ def _result(rows: DataFrame, score: Column, order: list[Column], limit: int | No
     return ranked(rows.withColumn("score", score.cast("long")), order, limit).select("rank", "entry_id", "score", "access_count")
 
 
-_COUNT, _SCORE, _ID = F.desc("access_count"), F.desc("score"), F.asc("entry_id")
+def _by(*names: str) -> list[Column]:
+    """Order by these, greatest first, and by id."""
+    return [*map(F.desc, names), F.asc("entry_id")]
 
 
 def all_by_count(entries: DataFrame, limit: int | None = None) -> DataFrame:
     """What an empty query gives: every entry with score 0, most used first."""
-    return _result(entries, F.lit(0), [_COUNT, _ID], limit)
+    return _result(entries, F.lit(0), _by("access_count"), limit)
 
 
 def fuzzy_search(entries: DataFrame, query: str, sort: str = "by_score", limit: int | None = None) -> DataFrame:
     if not query:
         return all_by_count(entries, limit)
     hits = entries.withColumn("_f", fuzzy_best(query)).where("_f IS NOT NULL")
-    return _result(hits, F.col("_f"), [_SCORE, _COUNT, _ID] if sort == "by_score" else [_COUNT, _SCORE, _ID], limit)
+    return _result(hits, F.col("_f"), _by("score", "access_count") if sort == "by_score" else _by("access_count", "score"), limit)
 
 
 def reading_search(entries: DataFrame, query: str, limit: int | None = None, indexed: bool = True) -> DataFrame:
@@ -59,7 +61,7 @@ def reading_search(entries: DataFrame, query: str, limit: int | None = None, ind
     if not query:
         return all_by_count(entries, limit)
     hit = matched(F.col("title"), F.col("morae"), query).isNotNull() if indexed else F.lit(False)
-    return _result(entries.where(hit), F.lit(0), [_COUNT, _ID], limit)
+    return _result(entries.where(hit), F.lit(0), _by("access_count"), limit)
 
 
 def combined_search(entries: DataFrame, query: str, limit: int | None = None, indexed: bool = True) -> DataFrame:
@@ -73,7 +75,7 @@ def combined_search(entries: DataFrame, query: str, limit: int | None = None, in
     tops = both.agg(F.struct(least("_f").alias("f"), least("_r").alias("r"), least("access_count").alias("a")).alias("m")).scalar()
     share = lambda c, k: F.coalesce(F.greatest(F.col(c), F.lit(0)).cast("double") / F.col("_m")[k], F.lit(0.0))
     fused = F.round((share("_f", "f") + share("_r", "r") + share("access_count", "a")) * 1e6)
-    return _result(both.withColumn("_m", tops), fused, [_SCORE, _COUNT, _ID], limit)
+    return _result(both.withColumn("_m", tops), fused, _by("score", "access_count"), limit)
 
 
 def search(entries: DataFrame, query: str, mode: str = "combined", sort: str = "by_score", limit: int | None = None, indexed: bool = True) -> DataFrame:
