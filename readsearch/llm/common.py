@@ -66,3 +66,23 @@ def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, repe
     if repeated:
         kept = kept.dropDuplicates(["_id", "_th"])
     return kept.select(*[F.col("_doc")[c].alias(c) for c in names])
+
+
+#: Bits of the tables below: 2^18 rows at most, whatever the corpus.
+SLOT_BITS = 24
+
+
+def slots(hashes: DataFrame) -> DataFrame:
+    """A bit table (word, bits) of the longs in ``hashes`` (h): a filter of fixed
+    size that is safe to broadcast.  It lets every member through and, the fuller
+    it is, more of the others."""
+    slot = hashes.select(F.pmod("h", F.lit(1 << SLOT_BITS)).alias("s"))
+    return slot.groupBy(F.shiftright("s", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 AS int)))").alias("bits"))
+
+
+def marked(rows: DataFrame, hashed: Column, table_: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean: whether the table may hold the row's hash."""
+    slot = rows.withColumn("_slot", F.pmod(hashed, F.lit(1 << SLOT_BITS)))
+    both = slot.join(F.broadcast(table_.withColumnsRenamed({"word": "_word", "bits": "_bits"})), F.shiftright("_slot", 6) == F.col("_word"), "left")
+    hit = F.expr("coalesce(_bits & shiftleft(1L, cast(_slot & 63 AS int)), 0) <> 0")
+    return both.withColumn(name, hit).drop("_slot", "_word", "_bits")

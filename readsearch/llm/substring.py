@@ -8,10 +8,12 @@ that lie in two or more to all the windows around them, to the left and to the
 right, and keeps those whose words agree with a window of an earlier document;
 adjoining windows make up the maximal repeats.
 
-Anchors meet by count and windows by least document, both summed before they
-travel, so a passage in a third of all documents costs a row per place and no
-pairs.  The anchors found are passed on as a bit table of fixed size: what it
-lets through by chance is dropped by the comparison of windows.
+Windows travel once: sorted by content, the earliest document of each comes
+first and the others follow it as they stream by, a row per place and no pairs.
+Windows around anchors of over ``HOT`` documents would pile up in one task; for
+those the earliest document is found by a partial aggregate and joined, which
+Spark can split.  The anchors found are passed on as a bit table of fixed size:
+what it lets through by chance is dropped by the comparison of windows.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_dir, table, text_hash, words
+from .common import marked, pieces, shared_dir, slots, stored, table, text_hash, words
 
-LENGTH, GRAM = 13, 5
+LENGTH, GRAM, HOT = 13, 5, 4096
 #: log2 of the bits of the anchor table: 16 MiB, whatever the corpus.
 TABLE_BITS = 27
 
@@ -84,9 +86,10 @@ def _anchors(length: int):
             order = np.lexsort((doc, anchor))
             anchor, doc = anchor[order], doc[order]
             first = np.r_[True, anchor[1:] != anchor[:-1]]
+            once = first | np.r_[True, doc[1:] != doc[:-1]]
             start = np.flatnonzero(first)
-            low, high = doc[start], doc[np.r_[start[1:], len(doc)] - 1]
-            yield pa.record_batch([pa.array(anchor[start].view(np.int64)), pa.array(np.where(low < high, 2, 1).astype(np.int32))], ["anchor", "n"])
+            n = np.add.reduceat(once.astype(np.int32), start)
+            yield pa.record_batch([pa.array(anchor[start].view(np.int64)), pa.array(n, pa.int32())], ["anchor", "n"])
 
     return run
 
@@ -101,49 +104,80 @@ def _table(shared: DataFrame) -> np.ndarray:
     return out
 
 
-def _candidates(bits, length: int):
+def _has(table_: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    slot = anchor >> np.uint64(64 - TABLE_BITS)
+    return (table_[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _candidates(bits, hot, length: int, want_hot: bool):
     """Windows around anchors of the table: two hashes of their words, the document, and place and text packed."""
 
     def run(batches):
-        table_ = bits.value
         for b in pieces(batches):
             x, off, at, row, anchor = _windows(b, length)
-            slot = anchor >> np.uint64(64 - TABLE_BITS)
-            hit = (table_[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+            hit = _has(bits.value, anchor)
+            if hot is not None:
+                hit &= _has(hot.value, anchor) == want_hot
             at, row = at[hit], row[hit]
             if not len(at):
                 continue
-            h1, h2 = _run_hash(x, length, 2)[at], _run_hash(x, length, 3)[at]
-            place = (at - off[row]) << 32 | (b.column(1).to_numpy()[row] & 0xFFFFFFFF)
-            cols = [h1.view(np.int64), h2.view(np.int64), b.column(0).to_numpy()[row], place]
+            h1, h2 = _run_hash(x, length, 2)[at], (_run_hash(x, length, 3)[at] >> np.uint64(32)).astype(np.uint32)
+            place = (at - off[row]) << 32 | b.column(1).to_numpy()[row]
+            cols = [h1.view(np.int64), h2.view(np.int32), b.column(0).to_numpy()[row], place]
             yield pa.record_batch([pa.array(c) for c in cols], ["h1", "h2", "doc_id", "place"])
 
     return run
 
 
-def _removed(length: int):
+def _later(batches):
+    """Streams windows sorted by content and document; yields those that an earlier document has."""
+    key, first = None, None
+    for b in batches:
+        h1, h2, doc, place = (b.column(i).to_numpy() for i in range(4))
+        if not len(h1):
+            continue
+        new = np.r_[key != (h1[0], h2[0]), (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
+        start = np.maximum.accumulate(np.where(new, np.arange(len(h1)), -1))
+        least = np.where(start >= 0, doc[np.maximum(start, 0)], first if first is not None else 0)
+        key, first = (h1[-1], h2[-1]), least[-1]
+        out = doc > least
+        if out.any():
+            yield pa.record_batch([pa.array(doc[out]), pa.array(place[out])], ["doc_id", "place"])
+
+
+def _spans(length: int):
+    """Merges the starts of a document's windows into runs of words [start, end)."""
+
     def run(batches):
-        for b in pieces(batches, 4 << 20):
-            spans, kept, n, gone = [], [], [], []
-            for text, starts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                parts = (text or b"").split()
-                cover = np.zeros(len(parts) + 1, dtype=np.int32)
-                if starts:
-                    s = np.unique(np.array(starts, dtype=np.int64))
-                    cover[s] += 1
-                    np.subtract.at(cover, s + length, 1)
-                out = np.cumsum(cover[:-1]) > 0 if len(parts) else np.zeros(0, bool)
-                edge = np.flatnonzero(np.diff(np.r_[False, out, False].astype(np.int8)))
-                spans.append([{"start": int(i), "end": int(j)} for i, j in zip(edge[::2], edge[1::2])])
-                kept.append(b" ".join(parts[i] for i in np.flatnonzero(~out)) if len(edge) else b" ".join(parts))
-                n.append(len(parts))
-                gone.append(int(out.sum()))
-            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "repeats", "kept_text"])
+        for b in pieces(batches):
+            out = []
+            for starts in b.column(2).to_pylist():
+                s = np.unique(np.array(starts, dtype=np.int64))
+                cut = np.flatnonzero(np.diff(s) > length)
+                out.append([{"start": int(i), "end": int(j) + length} for i, j in zip(s[np.r_[0, cut + 1]], s[np.r_[cut, len(s) - 1]])])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, SPAN)], ["doc_id", "th", "spans"])
 
     return run
 
 
+SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _removed(batches):
+    for b in pieces(batches, 4 << 20):
+        kept, n, gone = [], [], []
+        for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            parts = (text or b"").split()
+            n.append(len(parts))
+            gone.append(sum(s["end"] - s["start"] for s in spans))
+            at, left = 0, []
+            for s in spans:
+                left += parts[at : s["start"]]
+                at = s["end"]
+            kept.append(b" ".join(left + parts[at:]).decode())
+        yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), b.column(2), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "repeats", "kept_text"])
+
+
 def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc_id, n_words, n_removed, repeats, kept_text): one row per row.
 
@@ -156,20 +190,33 @@ def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    hashed = _hashed(docs, id_col, text_col)
-    counts = hashed.mapInArrow(_anchors(length), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n"))
-    bits = spark.sparkContext.broadcast(_table(counts.where("n > 1")))
-    found = hashed.mapInArrow(_candidates(bits, length), "h1 long, h2 long, doc_id long, place long")
-    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
-    later = found.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "place")
-    starts = later.groupBy("doc_id", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("th32")).agg(F.collect_list(F.shiftrightunsigned("place", 32).cast("int")).alias("starts"))
-    texts = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.encode(F.col(text_col), "utf-8").alias("t"),
-        text_hash(F.col(text_col)).bitwiseAND(F.lit(0xFFFFFFFF)).alias("th32"),
-    )
-    schema = "doc_id long, n_words long, n_removed long, repeats array<struct<start: int, end: int>>, kept_text string"
-    return texts.join(starts, ["doc_id", "th32"], "left").select("doc_id", "t", "starts").mapInArrow(_removed(length), schema)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
+    # A text hash beside the id is needed only where an id has several rows.
+    single = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    rows = rows.withColumn("th", F.lit(0).cast("long") if single else text_hash(F.col("t")).bitwiseAND(F.lit(0xFFFFFFFF)))
+    hashed = rows.where("doc_id IS NOT NULL").select("doc_id", "th", F.transform(words(F.col("t")), lambda w: F.xxhash64(w)).alias("w"))
+
+    counts = stored(hashed.mapInArrow(_anchors(length), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"))
+    bits = spark.sparkContext.broadcast(_table(counts))
+    crowded = counts.where(F.col("n") > HOT)
+    hot = None if crowded.isEmpty() else spark.sparkContext.broadcast(_table(crowded))
+    schema = "h1 long, h2 int, doc_id long, place long"
+    found = hashed.mapInArrow(_candidates(bits, hot, length, False), schema)
+    later = found.repartition("h1").sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(_later, "doc_id long, place long")
+    if hot is not None:
+        many = hashed.mapInArrow(_candidates(bits, hot, length, True), schema)
+        first = stored(many.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first"))
+        later = later.unionByName(many.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "place"))
+    starts = later.groupBy("doc_id", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("th")).agg(F.collect_list(F.shiftrightunsigned("place", 32).cast("int")).alias("starts"))
+    spans = stored(starts.mapInArrow(_spans(length), "doc_id long, th long, spans array<struct<start: int, end: int>>"))
+
+    key = F.xxhash64("doc_id", "th")
+    texts = marked(rows.select("doc_id", "th", F.encode("t", "utf-8").alias("t")), key, slots(spans.select(key.alias("h"))), "touched")
+    none = F.array().cast("array<struct<start: int, end: int>>")
+    whole = texts.where("NOT touched").select("doc_id", "t", none.alias("spans"))
+    cut = texts.where("touched").join(spans, ["doc_id", "th"], "left").select("doc_id", "t", F.coalesce("spans", none).alias("spans"))
+    out = "doc_id long, n_words long, n_removed long, repeats array<struct<start: int, end: int>>, kept_text string"
+    return whole.unionByName(cut).mapInArrow(_removed, out)
 
 
 def op4_substring(spark, sf_dir: str) -> DataFrame:
