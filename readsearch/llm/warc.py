@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_dir, stored, table
+from .common import marked, pieces, shared_dir, slots, stored, table
 
 #: Fields of the header lines of either version (fixed by the format).
 FIELDS = {
@@ -181,7 +181,11 @@ def write_archives(pages: DataFrame, path: str, version: int = 1) -> None:
                 out.append(to_warc(record, "" if page is None else str(page), None if refers is None else f"urn:page:{refers}").decode())
             yield pa.record_batch([pa.array(out, pa.string())], ["value"])
 
-    rows = clean.withColumn("sha", _digest()).join(revisits(clean), ["page_id", "sha"], "left").select("page_id", "url", "html", "refers_to")
+    again = stored(revisits(clean))
+    key = F.xxhash64("page_id", "sha")
+    seen = marked(clean.withColumn("sha", _digest()), key, slots(again.select(key.alias("h"))), "again")
+    once = seen.where("NOT again").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))  # stays where it is
+    rows = once.unionByName(seen.where("again").join(again, ["page_id", "sha"], "left").select("page_id", "url", "html", "refers_to"))
     rows.mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
