@@ -17,14 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, keep_rows, pieces, stored, table, text_hash
+from .common import SPACE, keep_rows, marked, pieces, slots, stored, table, text_hash
 
 CHUNK = 1 << 16
 #: Two primes below 2^31 and a base for each (fixed values of the fingerprint).
 MODULI, BASES = (2147483647, 2147483629), (1000003, 998244353)
-#: Bits of the table of met fingerprints that is broadcast (2^24 bits, 2^18 rows); more
-#: fingerprints than bits only let more texts travel, none is lost.
-SLOT_BITS = 24
 
 Print = tuple[int, int, int]  # the two remainders and the length in bytes
 
@@ -115,10 +112,6 @@ def _split_rows(rows):
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], ["fp", "n_bytes", "part"])
 
 
-def _slot():
-    return F.pmod(F.xxhash64("fp", "n_bytes"), F.lit(1 << SLOT_BITS))
-
-
 def part_prints(parts: DataFrame) -> DataFrame:
     """(doc_id, fp, n_bytes) of documents that lie in parts (doc_id, part_no,
     data binary): each part is hashed where it lies, and only remainders meet."""
@@ -141,16 +134,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     normal = _normal(docs, id_col, text_col)
     rows = stored(normal.mapInArrow(_prints, "doc_id long, th long, fp long, n_bytes long, sha string").withColumn("row", F.monotonically_increasing_id()))
     met = stored(rows.groupBy("fp", "n_bytes").agg(F.count("*").alias("n")).where("n > 1").select("fp", "n_bytes"))
-    bit = F.expr("shiftleft(1L, cast(s & 63 AS int))")
-    slots = met.select(_slot().alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    suspects = (
-        normal.mapInArrow(_folded, "fp long, n_bytes long, t binary")
-        .withColumn("s", _slot())
-        .withColumn("word", F.shiftright("s", 6))
-        .join(F.broadcast(slots), "word")  # 2^SLOT_BITS / 64 rows at most
-        .where(F.col("bits").bitwiseAND(bit) != 0)
-        .select("fp", "n_bytes", "t")
-    )
+    key = F.xxhash64("fp", "n_bytes")
+    folded = normal.select("doc_id", "t", "th").mapInArrow(_folded, "fp long, n_bytes long, t binary")
+    suspects = marked(folded, key, slots(met.select(key.alias("h"))), "met").where("met").select("fp", "n_bytes", "t")
     clashes = stored(suspects.repartition("fp", "n_bytes").sortWithinPartitions("fp", "n_bytes").mapInArrow(_compared, "fp long, n_bytes long, part string"))
     if clashes.isEmpty():
         rows = rows.withColumn("part", F.lit(""))
