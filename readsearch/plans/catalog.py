@@ -163,7 +163,7 @@ def complete_rank(s, d):
 
 def complete_names(s, d):
     """Completion over all customer names, as if they were files."""
-    names = _t(s, d, "customer").select(F.col("c_name").alias("name"), (F.col("c_custkey") % 2 == 0).alias("is_dir"))
+    names = _t(s, d, "customer").select(F.col("c_name").alias("name"), (F.col("c_acctbal") > 0).alias("is_dir"))
     return complete.candidates(names, "00", "dir", None, "c/").select("rank", "candidate")
 
 
@@ -177,7 +177,8 @@ def format_candidate(s, d):
 
 
 def add_if_absent(s, d):
-    rows = _entries(s, d).where("entry_id % 2 = 0")
+    """Pages that were used are in the store; all pages are offered."""
+    rows = _entries(s, d).where("access_count > 0")
     return store.add_if_absent(rows, _t(s, d, "pages").select("url", "html")).select("entry_id", "title", "url", "access_count")
 
 
@@ -188,7 +189,7 @@ def increment_counts(s, d):
 
 def delete_reindex(s, d):
     rows = _entries(s, d)
-    return store.ordinals(store.delete(rows, rows.where("access_count % 3 = 0").select("entry_id")))
+    return store.ordinals(store.delete(rows, rows.where("access_count = 0").select("entry_id")))
 
 
 def highlight_spans(s, d):

@@ -105,18 +105,18 @@ SQL = {
         + [("", "file", 1, "d/apple.txt"), ("", "file", 2, "d/readme.txt"), ("", "file", 3, "d/test.txt"), ("", "file", 4, "d/テスト.txt")],
         "leaf, kind, rank, candidate",
     ),
-    "complete_names": """WITH m AS (SELECT c_name, 200 + length(c_name) - strpos(c_name, '00') + 1 AS score FROM customer WHERE c_custkey % 2 = 0 AND strpos(c_name, '00') > 0)
+    "complete_names": """WITH m AS (SELECT c_name, 200 + length(c_name) - strpos(c_name, '00') + 1 AS score FROM customer WHERE c_acctbal > 0 AND strpos(c_name, '00') > 0)
       SELECT CAST(row_number() OVER (ORDER BY score DESC, c_name) AS BIGINT) AS rank, 'c/' || c_name || '/' AS candidate FROM m ORDER BY rank LIMIT 50""",
     "split_token": f"SELECT * FROM {_values(X.TOKENS, 'token, prefix, leaf')}",
     "format_candidate": f"SELECT prefix, name, prefix || name || CASE WHEN is_dir THEN '/' ELSE '' END AS candidate FROM {_values([c[:3] for c in X.CANDIDATES], 'prefix, name, is_dir')}",
-    "add_if_absent": f"""WITH {ENTRIES}, e AS (SELECT * FROM entries WHERE entry_id % 2 = 0),
+    "add_if_absent": f"""WITH {ENTRIES}, e AS (SELECT * FROM entries WHERE access_count > 0),
       f AS (SELECT p.url, min(coalesce(html, '')) AS html FROM pages p WHERE p.url IS NOT NULL AND p.url NOT IN (SELECT url FROM e WHERE url IS NOT NULL) GROUP BY p.url),
       g AS (SELECT url, {_title("html")} AS title FROM f)
       SELECT entry_id, title, url, access_count FROM e
       UNION ALL SELECT CAST((SELECT max(entry_id) FROM e) + row_number() OVER (ORDER BY url) AS BIGINT), {_SHOWN}, url, 0 FROM g""",
     "increment_counts": f"""WITH {ENTRIES} SELECT entry_id, CAST(access_count + coalesce(n, 0) AS BIGINT) AS access_count
       FROM entries LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY user_id) ON user_id = entry_id""",
-    "delete_reindex": f"WITH {ENTRIES} SELECT CAST(row_number() OVER (ORDER BY entry_id) - 1 AS BIGINT) AS ordinal, entry_id FROM entries WHERE access_count % 3 <> 0",
+    "delete_reindex": f"WITH {ENTRIES} SELECT CAST(row_number() OVER (ORDER BY entry_id) - 1 AS BIGINT) AS ordinal, entry_id FROM entries WHERE access_count <> 0",
     "highlight_spans": f"""WITH {ENTRIES}, c AS (SELECT entry_id, title, unnest(range(0, length(title))) AS i FROM entries),
       f AS (SELECT entry_id, i, {_AT} > 0 AND i >= {_AT} - 1 AND i < {_AT} - 1 + {_N} AS lit FROM c),
       g AS (SELECT *, i - row_number() OVER (PARTITION BY entry_id, lit ORDER BY i) AS grp FROM f)
