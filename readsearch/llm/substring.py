@@ -110,7 +110,9 @@ def _has(table_: np.ndarray, anchor: np.ndarray) -> np.ndarray:
 
 
 def _candidates(bits, hot, length: int, want_hot: bool):
-    """Windows around anchors of the table: two hashes of their words, the document, and place and text packed."""
+    """Windows around anchors of the table: two hashes of their words, the
+    document, place and text packed, and the places at which a document that
+    repeats a window has it again (so that it sends one row)."""
 
     def run(batches):
         for b in pieces(batches):
@@ -122,9 +124,17 @@ def _candidates(bits, hot, length: int, want_hot: bool):
             if not len(at):
                 continue
             h1, h2 = _run_hash(x, length, 2)[at], (_run_hash(x, length, 3)[at] >> np.uint64(32)).astype(np.uint32)
-            place = (at - off[row]) << 32 | b.column(1).to_numpy()[row]
-            cols = [h1.view(np.int64), h2.view(np.int32), b.column(0).to_numpy()[row], place]
-            yield pa.record_batch([pa.array(c) for c in cols], ["h1", "h2", "doc_id", "place"])
+            start, both = at - off[row], h1 + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            order = np.argsort(both, kind="stable")
+            first = np.flatnonzero(np.r_[True, both[order][1:] != both[order][:-1]])
+            again = np.full(len(first), None, dtype=object)
+            ends = np.r_[first[1:], len(order)]
+            for g in np.flatnonzero(ends - first > 1):
+                again[g] = start[order[first[g] + 1 : ends[g]]].astype("<i4").tobytes()
+            one = order[first]
+            place = start[one] << 32 | b.column(1).to_numpy()[row[one]]
+            cols = [pa.array(h1[one].view(np.int64)), pa.array(h2[one].view(np.int32)), pa.array(b.column(0).to_numpy()[row[one]]), pa.array(place), pa.array(again, pa.binary())]
+            yield pa.record_batch(cols, ["h1", "h2", "doc_id", "place", "again"])
 
     return run
 
@@ -142,7 +152,7 @@ def _later(batches):
         key, first = (h1[-1], h2[-1]), least[-1]
         out = doc > least
         if out.any():
-            yield pa.record_batch([pa.array(doc[out]), pa.array(place[out])], ["doc_id", "place"])
+            yield pa.record_batch([pa.array(doc[out]), pa.array(place[out]), b.column(4).filter(pa.array(out))], ["doc_id", "place", "again"])
 
 
 def _spans(length: int):
@@ -151,8 +161,8 @@ def _spans(length: int):
     def run(batches):
         for b in pieces(batches):
             out = []
-            for starts in b.column(2).to_pylist():
-                s = np.unique(np.array(starts, dtype=np.int64))
+            for starts, again in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                s = np.unique(np.concatenate([np.array(starts, dtype=np.int64), np.frombuffer(b"".join(again), dtype="<i4")]))
                 cut = np.flatnonzero(np.diff(s) > length)
                 out.append([{"start": int(i), "end": int(j) + length} for i, j in zip(s[np.r_[0, cut + 1]], s[np.r_[cut, len(s) - 1]])])
             yield pa.record_batch([b.column(0), b.column(1), pa.array(out, SPAN)], ["doc_id", "th", "spans"])
@@ -200,14 +210,16 @@ def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     bits = spark.sparkContext.broadcast(_table(counts))
     crowded = counts.where(F.col("n") > HOT)
     hot = None if crowded.isEmpty() else spark.sparkContext.broadcast(_table(crowded))
-    schema = "h1 long, h2 int, doc_id long, place long"
+    schema = "h1 long, h2 int, doc_id long, place long, again binary"
     found = hashed.mapInArrow(_candidates(bits, hot, length, False), schema)
-    later = found.repartition("h1").sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(_later, "doc_id long, place long")
+    later = found.repartition("h1").sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(_later, "doc_id long, place long, again binary")
     if hot is not None:
         many = hashed.mapInArrow(_candidates(bits, hot, length, True), schema)
         first = stored(many.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first"))
-        later = later.unionByName(many.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "place"))
-    starts = later.groupBy("doc_id", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("th")).agg(F.collect_list(F.shiftrightunsigned("place", 32).cast("int")).alias("starts"))
+        later = later.unionByName(many.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "place", "again"))
+    starts = later.groupBy("doc_id", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("th")).agg(
+        F.collect_list(F.shiftrightunsigned("place", 32).cast("int")).alias("starts"), F.collect_list("again").alias("again")
+    )
     spans = stored(starts.mapInArrow(_spans(length), "doc_id long, th long, spans array<struct<start: int, end: int>>"))
 
     key = F.xxhash64("doc_id", "th")
