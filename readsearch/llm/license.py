@@ -2,8 +2,9 @@
 
 A text is reduced to a canonical form: lower case, no copyright lines, no
 punctuation, one spelling of words that are written in several ways.  Entire
-texts, and entire lines for the one-line notices, are then looked up by digest
-in a table of known licences.  Built-in functions only.
+lines are then looked up by digest among the one-line notices.  Entire texts
+are looked up by the digest of a form of their own, which loses real copyright
+notices only, however the prose is wrapped.  Built-in functions only.
 """
 
 from __future__ import annotations
@@ -83,15 +84,49 @@ STEPS = (
     (r" ?\n ?", "\n"),
 )
 
+_SIGN = r"(\(c\)|©|&copy;)"
+_YEAR = r"([\[<{(]? ?(19|20)\d\d|[\[<{]|yyyy|year\b)"
+
+#: As ``STEPS``, for entire texts.  A line is a notice if a sign or a year stands
+#: beside its first word, or if nothing but blank lines, notices and a line of a
+#: few words without a full stop, a title, stands above it; prose that a wrap lets
+#: begin with "copyright" stays.
+TEXT_STEPS = (
+    STEPS[0],
+    (rf"(^|\n) ?(copyright ?[:,]? ?({_SIGN}|{_YEAR})|{_SIGN} ?(copyright|{_YEAR})|©)[^\n]*", r"\1"),
+    (r"^([ \n]*+(?:(?!copyright)[^ \n.,;]+(?: [^ \n.,;]+){0,5} ?\n[ \n]*+)?)(?:copyright[^\n]*+[ \n]*+)++", r"\1"),
+    *STEPS[2:],
+)
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text, its lines kept; null counts as empty."""
+#: Each known text has one of these, and so has any text of the same form.
+HINTS = ("licens", "permission", "redistribution")
+
+
+def _reduced(text: Column, steps) -> Column:
     out = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, by in STEPS:
+    for pattern, by in steps:
         out = F.regexp_replace(out, pattern, by.replace("\\", "$"))
     return out
 
 
+def canonical(text: Column) -> Column:
+    """The canonical form of a text, its lines kept; null counts as empty."""
+    return _reduced(text, STEPS)
+
+
+def whole(text: Column) -> Column:
+    """The form of an entire text, as one line."""
+    return flat(_reduced(text, TEXT_STEPS))
+
+
+def _hinted(text: Column) -> Column:
+    low = F.lower(text)
+    out = low.contains("licenc")
+    for word in HINTS:
+        out = out | low.contains(word)
+    return out
+
+
 def flat(lines: Column) -> Column:
     """A canonical text as one line."""
     return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
@@ -100,7 +135,7 @@ def flat(lines: Column) -> Column:
 def known(spark: SparkSession) -> DataFrame:
     """(known_digest, license) of the texts: as many rows as ``TEXTS`` has."""
     rows = spark.createDataFrame(list(TEXTS.items()), "license string, text string")
-    return rows.select(F.sha2(flat(canonical(F.col("text"))), 256).alias("known_digest"), "license")
+    return rows.select(F.sha2(whole(F.col("text")), 256).alias("known_digest"), "license")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,11 +147,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     columns of ``docs`` are never read.
     """
     lookup = F.create_map(*[x for line, name in NOTICES.items() for x in (F.sha2(flat(canonical(F.lit(line))), 256), F.lit(name))])  # folded to a literal
-    rows = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("_c"))
-    rows = rows.select("doc_id", F.split("_c", "\n").alias("_l"), F.sha2(flat(F.col("_c")), 256).alias("text_digest"))
+    form = F.when(_hinted(F.col(text_col)), F.sha2(whole(F.col(text_col)), 256))
+    rows = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("_c"), form.alias("_w"))
+    rows = rows.select("doc_id", F.split("_c", "\n").alias("_l"), F.sha2(flat(F.col("_c")), 256).alias("text_digest"), "_w")
     found = F.filter(F.transform("_l", lambda x: F.try_element_at(lookup, F.sha2(F.trim(x), 256))), lambda x: x.isNotNull())
     texts = F.broadcast(known(docs.sparkSession))  # a row per text in TEXTS
-    return rows.join(texts, F.col("text_digest") == F.col("known_digest"), "left").select("doc_id", "text_digest", "license", F.array_sort(F.array_distinct(found)).alias("notices"))
+    return rows.join(texts, F.col("_w") == F.col("known_digest"), "left").select("doc_id", "text_digest", "license", F.array_sort(F.array_distinct(found)).alias("notices"))
 
 
 def op8_license(spark, sf_dir: str) -> DataFrame:
