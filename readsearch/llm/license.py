@@ -9,6 +9,9 @@ notices only, however the prose is wrapped.  Built-in functions only.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,11 +93,14 @@ _YEAR = r"([\[<{(]? ?(19|20)\d\d|[\[<{]|yyyy|year\b)"
 #: As ``STEPS``, for entire texts.  A line is a notice if a sign or a year stands
 #: beside its first word, or if nothing but blank lines, notices and a line of a
 #: few words without a full stop, a title, stands above it; prose that a wrap lets
-#: begin with "copyright" stays.
+#: begin with "copyright" stays.  Lines that reserve all rights, and an opening
+#: title with a blank line below, are dropped too.
 TEXT_STEPS = (
     STEPS[0],
     (rf"(^|\n) ?(copyright ?[:,]? ?({_SIGN}|{_YEAR})|{_SIGN} ?(copyright|{_YEAR})|©)[^\n]*", r"\1"),
     (r"^([ \n]*+(?:(?!copyright)[^ \n.,;]+(?: [^ \n.,;]+){0,5} ?\n[ \n]*+)?)(?:copyright[^\n]*+[ \n]*+)++", r"\1"),
+    (r"(^|\n) ?all rights reserved ?\.?(?= ?(\n|$))", r"\1"),
+    (r"^[ \n]*+(?=[^\n]*\b(?:licen[cs]e|mit|isc|bsd|0bsd|zlib)\b)[^ \n;]+(?: [^ \n;]+){0,9} ?\n(?: ?version [^\n]{0,40}\n)?(?: ?[=*-]+ ?\n)?(?= ?\n)", ""),
     *STEPS[2:],
 )
 
@@ -132,27 +138,43 @@ def flat(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
 
 
-def known(spark: SparkSession) -> DataFrame:
-    """(known_digest, license) of the texts: as many rows as ``TEXTS`` has."""
-    rows = spark.createDataFrame(list(TEXTS.items()), "license string, text string")
-    return rows.select(F.sha2(whole(F.col("text")), 256).alias("known_digest"), "license")
+def texts() -> list[tuple[str, str]]:
+    """(name, text) of all licences that are known: ``TEXTS`` and the files beside
+    this module; those with terms that end are known without their appendix too."""
+    out, end = list(TEXTS.items()), "END OF TERMS AND CONDITIONS"
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        head, found, _ = text.partition(end)
+        out += [(path.stem, text), *([(path.stem, head + end), (path.stem, head)] if found else [])]
+    return out
+
+
+def known(spark: SparkSession, given: Iterable[tuple[str, str]] | None = None) -> DataFrame:
+    """(known_digest, license) of the texts, by default ``TEXTS``: a row per form;
+    of several names the first in order."""
+    rows = spark.createDataFrame(list(TEXTS.items() if given is None else given), "license string, text string")
+    return rows.groupBy(F.sha2(whole(F.col("text")), 256).alias("known_digest")).agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_: Iterable[tuple[str, str]] | None = None) -> DataFrame:
     """(doc_id, text_digest, license, notices): one row per row.
 
     ``license`` names the licence whose entire text the text is, ``notices``
-    (array, sorted) those of lines that are one-line notices.  An empty, null or
+    (array, sorted) those of lines that are one-line notices.  ``table_`` are
+    the (name, text) to find, by default ``texts()``.  An empty, null or
     unknown text has no licence and no notices; a null id stays null.  Other
     columns of ``docs`` are never read.
     """
+    spark, wanted = docs.sparkSession, texts() if table_ is None else list(table_)
     lookup = F.create_map(*[x for line, name in NOTICES.items() for x in (F.sha2(flat(canonical(F.lit(line))), 256), F.lit(name))])  # folded to a literal
-    form = F.when(_hinted(F.col(text_col)), F.sha2(whole(F.col(text_col)), 256))
+    form = F.sha2(whole(F.col(text_col)), 256)
+    if table_ is None or all(any(h in r[0] for h in HINTS) for r in spark.createDataFrame(wanted, "license string, text string").select(whole(F.col("text"))).collect()):
+        form = F.when(_hinted(F.col(text_col)), form)
     rows = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("_c"), form.alias("_w"))
     rows = rows.select("doc_id", F.split("_c", "\n").alias("_l"), F.sha2(flat(F.col("_c")), 256).alias("text_digest"), "_w")
     found = F.filter(F.transform("_l", lambda x: F.try_element_at(lookup, F.sha2(F.trim(x), 256))), lambda x: x.isNotNull())
-    texts = F.broadcast(known(docs.sparkSession))  # a row per text in TEXTS
-    return rows.join(texts, F.col("_w") == F.col("known_digest"), "left").select("doc_id", "text_digest", "license", F.array_sort(F.array_distinct(found)).alias("notices"))
+    names = F.broadcast(known(spark, wanted))  # a row per form of the known texts
+    return rows.join(names, F.col("_w") == F.col("known_digest"), "left").select("doc_id", "text_digest", "license", F.array_sort(F.array_distinct(found)).alias("notices"))
 
 
 def op8_license(spark, sf_dir: str) -> DataFrame:

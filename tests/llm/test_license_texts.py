@@ -30,3 +30,29 @@ def test_notices_are_dropped_and_prose_is_not(spark):
     assert scanned(spark, [h + "\r\n" + broken.replace("\n", "\r\n") for h in heads]) == ["ISC"] * len(heads)
     without = broken.replace("\ncopyright notice and this permission notice appear in all copies.", "\n")
     assert without != broken and scanned(spark, [without]) == [None]
+
+
+def test_table_of_texts(spark):
+    given = license.texts()
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= {n for n, _ in given}
+    assert scanned(spark, [t for _, t in given]) == [n for n, _ in given]
+    assert license.known(spark, given).count() == len(given)
+    forms = spark.createDataFrame(given, "n string, text string").select(license.whole(license.F.col("text"))).collect()
+    assert all(any(h in r[0] for h in license.HINTS) for r in forms)
+
+
+def test_titles_and_rights(spark):
+    t = license.TEXTS
+    rows = [
+        ("ISC", "ISC License\n\nCopyright (c) 2020 A\n\n" + t["ISC"]), ("ISC", "The ISC License (ISC)\n=================\n\n" + t["ISC"]),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, A\nAll rights reserved.\n\n" + wrapped(t["BSD-3-Clause"], 78)), ("BSD-2-Clause", "Copyright (c) 2020, A\nAll rights reserved.\n\n" + t["BSD-2-Clause"]),
+        ("Zlib", "zlib License\n\n(C) 2020 A\n\n" + t["Zlib"]), ("MIT", t["MIT"].split("\n\n", 1)[1]), ("MIT", "The MIT License (MIT)\n\n" + t["MIT"].split("\n\n", 1)[1]), ("0BSD", "Zero-Clause BSD\n\n" + t["0BSD"]),
+        (None, "MIT License\n\n"), (None, "All rights reserved."), (None, "BSD License\n\nsomething else"),
+    ]
+    assert scanned(spark, [x for _, x in rows]) == [n for n, _ in rows]
+
+
+def test_own_table(spark):
+    own = [("Own", "Do as you like.\n\nReally."), ("Own-2", "A license to do nothing.")]
+    assert scanned(spark, ["do as you\nlike - really", "a LICENCE to do nothing", license.TEXTS["MIT"], None], table_=own) == ["Own", "Own-2", None, None]
+    assert scanned(spark, ["a LICENCE to do nothing", "x"], table_=own[1:]) == ["Own-2", None]
