@@ -134,9 +134,10 @@ def op10_chat(spark, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
     made = format_chats(given.unionByName(more))
-    back = read_chats(made.select("conv_id", F.struct("conv_id", F.length("formatted").alias("n")).alias("k"), "formatted"), "k")
+    borne = F.array_join(F.transform(F.filter("segments", lambda x: x["loss"]), lambda x: unescape(x["text"])), "")
+    back = read_chats(made.select(F.struct("conv_id", F.length("formatted").alias("n"), borne.alias("loss")).alias("k"), "formatted"), "k")
     said = F.array_join(F.transform("turns", lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    loss = F.col("conv_id.loss")  # by the segments' own flags
     return back.select(
         F.col("conv_id.conv_id").alias("conv_id"), "n_turns", F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"), F.col("conv_id.n").cast("long").alias("formatted_chars"),
