@@ -137,11 +137,11 @@ def _remainder(id_col: str):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model from the labelled rows that are not held out; see SAMPLE_* for the bound."""
-    names = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("y")).agg(F.count("*").alias("n"))
-    top = [r["y"] for r in names.orderBy(F.desc("n"), "y").limit(SAMPLE_LANGS).collect()]
-    rows = docs.where(F.col(lang_col).isin(top) & (_remainder(id_col) != 2) & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("y"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"))
-    bucket = F.pmod(F.col("h"), F.lit(SAMPLE_ROWS))
+    """A model from the labelled rows that are not held out, of every label; see
+    SAMPLE_* for the bound: with more than SAMPLE_LANGS labels each has fewer rows."""
+    rows = docs.where(F.col(lang_col).isNotNull() & (_remainder(id_col) != 2) & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("y"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"))
+    n = rows.select("y").distinct().count()
+    bucket = F.pmod(F.col("h"), F.lit(max(1, SAMPLE_ROWS * min(n, SAMPLE_LANGS) // max(n, 1))))
     drawn = rows.select("y", "h").groupBy("y", bucket.alias("b")).agg(F.min("h").alias("h")).select("y", "h")
     start = (F.pmod(F.xxhash64("h"), F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(0)) + 1) + 1).cast("int")
     got = rows.join(F.broadcast(drawn), ["y", "h"]).select("y", "h", F.lower(F.substring(F.col("t"), start, F.lit(SAMPLE_CHARS))).alias("t")).groupBy("y", "h").agg(F.min("t").alias("t"))
