@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fuzzy import once
 from .query import decode
 
 MATCH_TYPE = "struct<path: string, start: int, score: bigint>"
@@ -32,16 +33,15 @@ def plain_start(text: Column, query: str) -> Column:
     """Where the lower-cased query lies in the lower-cased text, from 0; null if nowhere or empty."""
     if not query:
         return F.lit(None).cast("int")
-    at = F.instr(F.lower(text), F.lit(query.lower()))
-    return F.when(at > 0, at - 1)
+    return once(F.instr(F.lower(text), F.lit(query.lower())), lambda at: F.when(at > 0, at - 1))
 
 
 def matched(text: Column, morae: Column, query: str) -> Column:
     """struct(path, start, score): by units if they match, else by substring; null without a match."""
     units = decode(query)
-    w, p = window_start(morae, units), plain_start(text, query)
-    by_unit = F.when(w.isNotNull(), F.struct(F.lit("mora").alias("path"), w.alias("start"), score(F.lit(len(units)), w, F.size(morae)).alias("score")))
-    by_text = F.when(p.isNotNull(), F.struct(F.lit("plain").alias("path"), p.alias("start"), score(F.lit(len(query)), p, F.length(text)).alias("score")))
+    found = lambda path, at, n, total: F.when(at.isNotNull(), F.struct(F.lit(path).alias("path"), at.alias("start"), score(F.lit(n), at, total).alias("score")))
+    by_unit = once(window_start(morae, units), lambda w: found("mora", w, len(units), F.size(morae)))
+    by_text = once(plain_start(text, query), lambda p: found("plain", p, len(query), F.length(text)))
     return F.coalesce(by_unit, by_text).cast(MATCH_TYPE)
 
 

@@ -2,19 +2,64 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Entities, each replaced once; the ampersand comes last so that it makes no new ones.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: Elements whose content is text to an HTML parser, so that nothing in it is a tag.
+RAW = ("script", "style", "textarea", "xmp", "iframe", "noembed", "noframes")
+#: What may hide a title, or is one: comments, raw text elements, titles; each ends with the page if nothing ends it.
+_PART = rf"(?is)<(?:!--.*?(?:-->|\z)|({'|'.join(RAW)})\b[^>]*>.*?(?:</\1\b[^>]*>|\z)|title\b[^>]*>.*?(?:</title\b[^>]*>|\z))"
+_REFERENCE = r"(?s)(&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)|[^&]+|&)"
+_NAMES = {name: char for name, char in html5.items() if name.endswith(";")}
+#: Names that hold without a semicolon too, longest first.
+_BARE = sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n))
+#: Numbers that stand for characters of a Windows code page.
+_WINDOWS = {n: bytes([n]).decode("cp1252", errors="ignore") or chr(n) for n in range(0x80, 0xA0)}
+
+
+def _literal_map(table: dict) -> Column:
+    """A constant map, which Spark folds into one literal."""
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+
+
+def _numbered(number: Column) -> Column:
+    """The character of a code point, given as a long."""
+    bad = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    known = F.try_element_at(_literal_map(_WINDOWS), number.cast("string"))
+    return F.when(bad, F.lit("\ufffd")).otherwise(F.coalesce(known, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")))
+
+
+def _referenced(token: Column) -> Column:
+    """What a character reference stands for; any other token as it is."""
+    digits = F.regexp_extract(token, "^&#0*([0-9]{1,8})", 1)
+    hexes = F.regexp_extract(token, "^&#[xX]0*([0-9a-fA-F]{1,8})", 1)
+    number = F.when(token.startswith("&#x") | token.startswith("&#X"), F.conv(F.concat(F.lit("0"), hexes), 16, 10)).otherwise(F.concat(F.lit("0"), digits)).cast("long")
+    bare = F.regexp_extract(token, f"^&({'|'.join(_BARE)})", 1)
+    by_name = F.coalesce(
+        F.try_element_at(_literal_map(_NAMES), F.substring(token, 2, 40)),
+        F.concat(F.try_element_at(_literal_map({n: html5[n] for n in _BARE}), bare), F.substring(token, F.length(bare) + 2, F.length(token))),
+        token,
+    )
+    return F.when(token.rlike("^&#"), _numbered(number)).when(token.rlike("^&[A-Za-z]"), by_name).otherwise(token)
+
+
+def unescape_html(text: Column) -> Column:
+    """``text`` with its numeric and named character references resolved, each once."""
+    tokens = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(1))
+    return F.when(text.contains("&"), F.array_join(F.transform(tokens, _referenced), "")).otherwise(text)
 
 
 def page_title(html: Column) -> Column:
-    """The text of the first title element, trimmed of white space; empty without one or for null."""
-    out = F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
+    """The text of the first title element, trimmed of white space; empty without
+    one or for null.  Titles in comments, scripts and the like are none; one that
+    is not closed goes on to the end."""
+    parts = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_PART), F.lit(0))
+    title = F.get(F.filter(parts, lambda p: p.rlike("(?i)^<title")), F.lit(0))
+    inner = F.regexp_replace(F.coalesce(title, F.lit("")), r"(?i)^<title\b[^>]*>|</title\b[^>]*>$", "")
+    return F.regexp_replace(unescape_html(inner), r"(?U)^\s+|\s+$", "")
 
 
 def title_or_domain(title: Column, url: Column) -> Column:

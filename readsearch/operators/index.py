@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fuzzy import once
 from ..functions.kana import katakana_to_hiragana, morae_with_spans
+from .stage import fixed
 
 _HIRA, _KATA, _KANJI = "ぁ-ゟ", "ァ-ヿ", "一-鿿"
 #: Runs of one kind of character.  A long-vowel sign belongs to the run before it.
@@ -60,39 +62,53 @@ def longest_match(distinct_runs: DataFrame, dictionary: DataFrame) -> DataFrame:
     return hits.select("run", F.aggregate("hits", begin, step)["out"].alias("units"))
 
 
-def _assembled(text: Column, kanji: Column | None) -> tuple[Column, Column]:
-    """(morae, segments) of a text; ``kanji`` maps its kanji runs to their units."""
-    parts = runs(text)
-    ends = F.aggregate(parts, F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, F.lit(-1)) + F.length(r))))
+def _assembled(text: Column, kanji: Column | None) -> Column:
+    """The units of a text; ``kanji`` maps its kanji runs to theirs."""
+    none = F.array().cast(_UNITS)
 
     def units(r):
-        words = F.coalesce(F.try_element_at(kanji, r), F.array().cast(_UNITS)) if kanji is not None else F.array().cast(_UNITS)
-        k = kind(r)
-        return F.when(k == "kanji", words).when(k.isin("hiragana", "katakana"), _kana(r)).otherwise(_chars(r))
+        words = F.coalesce(F.try_element_at(kanji, r), none) if kanji is not None else none
+        return once(kind(r), lambda k: F.when(k == "kanji", words).when(k.isin("hiragana", "katakana"), _kana(r)).otherwise(_chars(r)))
 
-    shifted = F.flatten(F.transform(F.arrays_zip(parts.alias("r"), F.slice(ends, F.lit(1), F.size(parts)).alias("o")), lambda x: F.transform(units(x["r"]), lambda u: F.struct((u["s"] + x["o"]).alias("s"), (u["e"] + x["o"]).alias("e"), u["m"].alias("m")))))
-    morae = F.flatten(F.transform(shifted, lambda u: u["m"]))
-    segments = F.transform(shifted, lambda u: F.struct(u["s"].alias("char_start"), u["e"].alias("char_end"), F.size(u["m"]).alias("morae_len")))
-    return morae, segments
+    def placed(parts):
+        ends = F.aggregate(parts, F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, F.lit(-1)) + F.length(r))))
+        runs_at = F.arrays_zip(parts.alias("r"), F.slice(ends, F.lit(1), F.size(parts)).alias("o"))
+        return F.flatten(F.transform(runs_at, lambda x: F.transform(units(x["r"]), lambda u: F.struct((u["s"] + x["o"]).alias("s"), (u["e"] + x["o"]).alias("e"), u["m"].alias("m")))))
+
+    return once(runs(text), placed)
+
+
+def _indexed(items: DataFrame, names: list[str], units: Column) -> DataFrame:
+    free = _free(names, "_units")
+    rows = fixed(items.withColumn(free, units), free)
+    morae = F.flatten(F.transform(free, lambda u: u["m"]))
+    segments = F.transform(free, lambda u: F.struct(u["s"].alias("char_start"), u["e"].alias("char_end"), F.size(u["m"]).alias("morae_len")))
+    mine = [c for c in names if c not in ("morae", "segments")]
+    return fixed(rows.select(*[F.col(f"`{c}`") for c in mine], morae.alias("morae"), segments.alias("segments")), "morae", "segments")
+
+
+def _free(names: list[str], name: str) -> str:
+    while name in names:
+        name = f"_{name}"
+    return name
 
 
 def with_index(items: DataFrame, id_col: str, text_col: str, dictionary: DataFrame | None = None) -> DataFrame:
-    """``items`` with ``morae`` and ``segments`` of their text.
+    """``items`` with ``morae`` and ``segments`` of their text, in place of columns of those names.
 
-    Null texts count as empty.  Only items with kanji take part in the join with
-    the dictionary; ids must be unique among those.  Without a dictionary there
-    is no join and kanji have no reading.
+    Null texts count as empty; ids may be null or repeat.  Only items with kanji
+    take part in the join with the dictionary.  Without a dictionary there is
+    no join and kanji have no reading.
     """
+    names = items.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
     if dictionary is None:
-        morae, segments = _assembled(text, None)
-        return items.withColumn("morae", morae).withColumn("segments", segments)
-    mine = items.where(text.rlike(f"[{_KANJI}]")).select(F.col(id_col).alias("_id"), F.explode(F.filter(runs(text), lambda r: kind(r) == "kanji")).alias("run")).distinct()
+        return _indexed(items, names, _assembled(text, None))
+    key, kanji = _free(names, "_id"), _free(names, "_kanji")
+    mine = items.where(text.rlike(f"[{_KANJI}]")).select(F.col(id_col).alias(key), F.explode(F.filter(runs(text), lambda r: kind(r) == "kanji")).alias("run")).distinct()
     resolved = longest_match(mine.select("run").distinct(), dictionary)
-    maps = mine.join(resolved, "run").groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("run", "units"))).alias("_kanji"))
-    morae, segments = _assembled(text, F.col("_kanji"))
-    joined = items.join(maps, items[id_col] == maps["_id"], "left")
-    return joined.withColumn("morae", morae).withColumn("segments", segments).drop("_id", "_kanji")
+    maps = mine.join(resolved, "run").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("run", "units"))).alias(kanji))
+    return _indexed(items.join(maps, F.col(id_col).eqNullSafe(F.col(key)), "left"), names, _assembled(text, F.col(kanji)))
 
 
 def add_items(index: DataFrame, new: DataFrame, id_col: str, text_col: str, dictionary: DataFrame | None = None) -> DataFrame:

@@ -6,10 +6,11 @@ derived when asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import page_title, title_or_domain
+from .stage import numbered
 
 SCHEMA = "entry_id long, type string, title string, url string, command string, args array<string>, access_count long"
 
@@ -21,8 +22,8 @@ def add_if_absent(entries: DataFrame, pages: DataFrame) -> DataFrame:
     fresh = pages.where("url IS NOT NULL").groupBy("url").agg(F.min(F.coalesce("html", F.lit(""))).alias("html"))
     fresh = fresh.join(entries.where("type = 'bookmark'").select("url"), "url", "left_anti")
     top = entries.agg(F.coalesce(F.max("entry_id"), F.lit(-1))).scalar()
-    new = fresh.select(
-        (top + F.row_number().over(Window.orderBy("url"))).cast("long").alias("entry_id"), F.lit("bookmark").alias("type"),
+    new = numbered(fresh, [F.asc("url")], "_place").select(
+        (top + F.col("_place")).cast("long").alias("entry_id"), F.lit("bookmark").alias("type"),
         title_or_domain(page_title(F.col("html")), F.col("url")).alias("title"), "url",
         F.lit(None).cast("string").alias("command"), F.lit(None).cast("array<string>").alias("args"), F.lit(0).cast("long").alias("access_count"),
     )
@@ -42,6 +43,4 @@ def delete(entries: DataFrame, gone: DataFrame) -> DataFrame:
 
 def ordinals(entries: DataFrame) -> DataFrame:
     """(ordinal, entry_id): places from 0 in order of id."""
-    from .rank import ranked
-
-    return ranked(entries.select("entry_id"), [F.asc("entry_id")], None).select((F.col("rank") - 1).alias("ordinal"), "entry_id")
+    return numbered(entries.select("entry_id"), [F.asc("entry_id")], "_place").select((F.col("_place") - 1).alias("ordinal"), "entry_id")

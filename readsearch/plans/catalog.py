@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, kana, match, query, text
-from ..operators import complete, highlight, index, rank, store
-from ..sources import dictionary, entries
+from ..operators import complete, highlight, index, rank, stage, store
+from ..sources import dictionary, entries, listing
 from ..streaming.opens import open_counts
 from . import fixtures as X
 
@@ -204,6 +206,108 @@ def display(s, d):
     return shown.select("rank", "entry_id", "prefix", F.size("title_spans").cast("long").alias("n_title_spans"), F.size("secondary_spans").cast("long").alias("n_secondary_spans"))
 
 
+def complete_all_names(s, d):
+    """Completion without a limit over all customer names."""
+    names = _t(s, d, "customer").select(F.col("c_name").alias("name"), F.lit(False).alias("is_dir"))
+    return complete.candidates(names, "1", "file", None, "", None).select("rank", "candidate")
+
+
+def table_search(s, d):
+    """A table of queries against all titles."""
+    asked = s.createDataFrame([(q,) for q in X.ASKED], "query string")
+    found = rank.table_search(_entries(s, d, True), asked, "entry_id", "title")
+    return found.select("query", "entry_id", "path", F.col("start").cast("long").alias("start"), "score")
+
+
+def query_matrix(s, d):
+    """Every fixture text against every fixture query, by equality of their parts."""
+    texts = s.createDataFrame([(t,) for t in dict.fromkeys(m[0] for m in X.MATCHES)], "text string")
+    asked = s.createDataFrame([(m[1],) for m in X.MATCHES], "query string")
+    found = rank.table_search(index.with_index(texts, "text", "text", _dictionary(s)), asked, "text", "text")
+    given = s.createDataFrame([m[:2] for m in X.MATCHES], "text string, query string")
+    return given.join(found, ["text", "query"], "left").select("text", "query", "path", F.col("start").cast("long").alias("start"), "score")
+
+
+def index_add_remove(s, d):
+    """An index of the odd pages, the even ones added to it, every third removed."""
+    rows = _entries(s, d).select("entry_id", "title")
+    kept = index.with_index(rows.where("entry_id % 2 = 1"), "entry_id", "title")
+    grown = index.add_items(kept, rows.where("entry_id % 2 = 0"), "entry_id", "title")
+    return index.remove_items(grown, rows.where("entry_id % 3 = 0").select("entry_id"), "entry_id").select("entry_id", _joined("morae"))
+
+
+def _dictionary_file(s: SparkSession) -> str:
+    """The fixture dictionary as a file in its legacy encoding."""
+    path = stage.new_path(s, "dictionary")
+    rows = s.createDataFrame([(bytearray("\n".join(X.DICTIONARY_LINES).encode("euc_jp")),)], "line binary")
+    rows.select(F.col("line").cast("string")).coalesce(1).write.text(path)  # bytes are written as they are
+    return path
+
+
+def dictionary_scan(s, d):
+    return dictionary.read_text(s, _dictionary_file(s)).select("word", _joined("morae"))
+
+
+def dictionary_compiled(s, d):
+    path = stage.new_path(s, "compiled")
+    dictionary.write_compiled(_dictionary(s), path)
+    return dictionary.read_compiled(s, path).select("word", _joined("morae"))
+
+
+def dictionary_cached(s, d):
+    """Read through a cache that is made by the first of two reads."""
+    path, cache = _dictionary_file(s), stage.new_path(s, "cache")
+    dictionary.read_cached(s, path, cache)
+    return dictionary.read_cached(s, path, cache).select("word", _joined("morae"))
+
+
+def dictionary_missing(s, d):
+    return dictionary.read_cached(s, stage.new_path(s, "none")).select("word", _joined("morae"))
+
+
+def store_file(s, d):
+    path = stage.new_path(s, "store")
+    s.createDataFrame([(X.STORE_FILE,)], "line string").coalesce(1).write.text(path)
+    return entries.read_store(s, path).select("entry_id", "type", "title", "url", "command", F.array_join("args", ",").alias("args"), "access_count")
+
+
+def store_roundtrip(s, d):
+    path = stage.new_path(s, "entries")
+    entries.write_entries(_entries(s, d), path)
+    return entries.read_entries(s, path).select("entry_id", "type", "title", "url", "access_count")
+
+
+def folder_listing(s, d):
+    """A folder of the driver, as the completion program reads one."""
+    with tempfile.TemporaryDirectory() as folder:
+        for name, is_dir in X.LISTING:
+            path = os.path.join(folder, name)
+            os.mkdir(path) if is_dir else open(path, "w").close()
+        return listing.list_directory(s, listing.folder_of(os.path.dirname(folder), os.path.basename(folder)))
+
+
+def labels(s, d):
+    modes = [(m, text.mode_label(m, known)) for m in rank.MODES for known in (True, False)]
+    sorts = [(m, text.sort_label(m)) for m in rank.SORTS]
+    return s.createDataFrame(modes + sorts, "name string, label string")
+
+
+def shown_parts(s, d):
+    """Count prefixes and argument suffixes."""
+    rows = s.createDataFrame([c[:2] for c in X.SHOWN], "n long, args array<string>")
+    return rows.select("n", F.array_join("args", ",").alias("args"), text.count_prefix(F.col("n")).alias("prefix"), text.args_suffix(F.col("args")).alias("suffix"))
+
+
+def address_like(s, d):
+    rows = s.createDataFrame([c[:2] for c in X.ADDRESS_LIKE], "query string, n long")
+    return rows.select("query", "n", text.url_like(F.col("query"), F.col("n")).alias("is_address"))
+
+
+def title_cases(s, d):
+    """Titles of pages with comments, scripts and character references."""
+    return s.createDataFrame([c[:1] for c in X.TITLES], "html string").select("html", text.page_title(F.col("html")).alias("title"))
+
+
 def hourly_opens(s, d):
     return open_counts(_t(s, d, "events"))
 
@@ -212,7 +316,8 @@ _QUERIES: list[Q] = [
     extract_title, title_fallback, empty_query_by_count, substring_match_scored, substring_highlight, document_substring, ascii_index_morae, window_match_vowels,
     fuzzy_membership, fuzzy_score_by_score, fuzzy_score_by_count, reading_mode_by_count, combined_rank, combined_top_k, part_rank, kana_to_morae, query_decode,
     dictionary_first_wins, longest_match, reading_match_fixture, highlight_fixture, complete_rank, complete_names, split_token, format_candidate, add_if_absent,
-    increment_counts, delete_reindex, highlight_spans, display, hourly_opens,
+    increment_counts, delete_reindex, highlight_spans, display, hourly_opens, complete_all_names, table_search, query_matrix, index_add_remove, dictionary_scan,
+    dictionary_compiled, dictionary_cached, dictionary_missing, store_file, store_roundtrip, folder_listing, labels, shown_parts, address_like, title_cases,
 ]
 
 

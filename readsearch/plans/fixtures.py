@@ -1,4 +1,7 @@
-"""Small inputs in Japanese, as the shared tables hold none, with what is expected of them."""
+"""Small inputs in Japanese, as the shared tables hold none, with what is expected of them.
+
+The expected values are fixed values: what these readings, decodings and matches have to be.
+"""
 
 DICTIONARY_LINES = [
     ";; okuri-ari entries.", "げんt /現/", ";; okuri-nasi entries.", "; a comment", "", "げん /現/言/減;発生-/源/元/", "げんご /言語/原語;original language/",
@@ -36,3 +39,28 @@ ADDRESSES = [
     ("https://a.com/x?y=1", "", "a.com"), ("https://a.com?x=1", "", "a.com"), ("https://a.com?x=/y", "", "a.com?x="), ("https://a.com", "", "a.com"),
     ("a.com/x", "", "a.com/x"), ("https://a.com/x", "Home", "Home"),
 ]
+#: Queries against English titles: vowels match by units, all others by substring.
+ASKED = ["io", "ai", "on", "the", "ner", "THE", "tre", "", None, "the", "zzzz"]
+STORE_FILE = """[[bookmarks]]
+type = "bookmark"
+title = "Home"
+url = "https://a.com"
+access_count = 2
+[[bookmarks]]
+type = "app"
+title = "Run"
+command = "run"
+args = ["-a", "b"]
+"""
+STORE_ROWS = [(0, "bookmark", "Home", "https://a.com", None, None, 2), (1, "app", "Run", None, "run", "-a,b", 0)]
+LABELS = [
+    ("fuzzy", "Fuzzy"), ("fuzzy", "Fuzzy"), ("reading", "Reading"), ("reading", "Reading (dict missing)"), ("combined", "Combined"), ("combined", "Combined (dict missing)"),
+    ("by_score", "Score"), ("by_count", "Count"),
+]
+SHOWN = [(0, ["a", "b"], "   0 ", " a b"), (12345, [], "12345 ", ""), (77, ["x"], "  77 ", " x")]
+ADDRESS_LIKE = [("a.b", 0, True), ("a.b", 1, False), (" ", 0, False), ("http://x", 0, True), ("  https://x ", 0, True), ("word", 0, False), ("", 0, False)]
+TITLES = [
+    ("<title> a &amp; b </title>", "a & b"), ("<TITLE lang=x>It&#8217;s &mdash; caf&eacute;</TITLE >", "It\u2019s \u2014 caf\u00e9"), ("<!-- <title>no</title> --><title>yes</title>", "yes"),
+    ("<script>x = '<title>no</title>'</script><title>yes</title><title>two</title>", "yes"), ("<title>open", "open"), ("<p>none</p>", ""), ("<title></title>", ""),
+    ("<title>a <!-- b --> c</title>", "a <!-- b --> c"), ("<title>&amp;amp; &lt;p&gt; &#x80; &unknown; &copy 2</title>", "&amp; <p> \u20ac &unknown; \u00a9 2"),
+]

@@ -66,10 +66,19 @@ def _values(rows, names: str, table: str = "v") -> str:
 _SHOWN = """CASE WHEN title <> '' THEN title WHEN strpos(url, '://') = 0 THEN url
   WHEN strpos(substr(url, strpos(url, '://') + 3), '/') > 0 THEN split_part(substr(url, strpos(url, '://') + 3), '/', 1)
   ELSE split_part(substr(url, strpos(url, '://') + 3), '?', 1) END"""
+
+
+def _spans(col: str, name: str, extra: str = "false") -> str:
+    """The number of runs of lit and unlit characters of a text, lit by its fuzzy places or by ``extra``."""
+    lit = lambda i: "(" + " OR ".join([f"{i} = {name}_p{j}" for j in range(1, _K + 1)] + [extra.replace("?", i)]) + ")"
+    return f"CAST(CASE WHEN length({col}) = 0 THEN 0 ELSE 1 + len(list_filter(range(2, length({col}) + 1), lambda i: {lit('i')} <> {lit('(i - 1)')})) END AS BIGINT)"
+
+
+_K = len(QUERY)
+_PLACE = f"strpos(lower(title), '{QUERY}')"
 _AT = f"strpos(lower(title), '{SUBSTRING}')"
 _N = len(SUBSTRING)
 _ORDER_S, _ORDER_C = "_f DESC, access_count DESC, entry_id", "access_count DESC, _f DESC, entry_id"
-_K = len(QUERY)
 
 SQL = {
     "extract_title": f"WITH {ENTRIES} SELECT entry_id, title FROM entries",
@@ -121,5 +130,29 @@ SQL = {
       f AS (SELECT entry_id, i, {_AT} > 0 AND i >= {_AT} - 1 AND i < {_AT} - 1 + {_N} AS lit FROM c),
       g AS (SELECT *, i - row_number() OVER (PARTITION BY entry_id, lit ORDER BY i) AS grp FROM f)
       SELECT entry_id, CAST(min(i) AS BIGINT) AS start, CAST(max(i) + 1 AS BIGINT) AS "end", lit FROM g GROUP BY entry_id, lit, grp""",
+    "display": f"""{_combined(QUERY)}, ranked AS (SELECT CAST(row_number() OVER (ORDER BY s DESC, access_count DESC, entry_id) AS BIGINT) AS rank, entry_id FROM fused ORDER BY rank LIMIT 50),
+      lit AS (SELECT *, CASE WHEN a_p{_K} > 0 THEN 1 ELSE 0 END AS a_hit, CASE WHEN b_p{_K} > 0 THEN 1 ELSE 0 END AS b_hit FROM fuzzy)
+      SELECT rank, entry_id, CASE WHEN access_count < 1000 THEN lpad(CAST(access_count AS VARCHAR), 4, ' ') ELSE CAST(access_count AS VARCHAR) END || ' ' AS prefix,
+        {_spans("title", "a_hit * a", f"({_PLACE} > 0 AND ? >= {_PLACE} AND ? < {_PLACE} + {_K})")} AS n_title_spans, {_spans("url", "b_hit * b")} AS n_secondary_spans
+      FROM ranked JOIN lit USING (entry_id)""",
+    "complete_all_names": """WITH m AS (SELECT c_name, 100 + length(c_name) - strpos(c_name, '1') + 1 AS score FROM customer WHERE strpos(c_name, '1') > 0)
+      SELECT CAST(row_number() OVER (ORDER BY score DESC, c_name) AS BIGINT) AS rank, c_name AS candidate FROM m""",
+    "table_search": f"""WITH {ENTRIES}, q AS (SELECT DISTINCT query, query IN ('io', 'ai', 'on') AS by_unit FROM {_values([(q,) for q in X.ASKED], "query")} WHERE query <> '')
+      SELECT query, entry_id, CASE WHEN by_unit THEN 'mora' ELSE 'plain' END AS path, CAST(strpos(lower(title), lower(query)) - 1 AS BIGINT) AS start,
+        CAST(100 * length(query) + greatest(length(title) - strpos(lower(title), lower(query)) + 1, 0) AS BIGINT) AS score
+      FROM entries, q WHERE strpos(lower(title), lower(query)) > 0""",
+    "query_matrix": f"SELECT text, query, path, CAST(start AS BIGINT) AS start, CAST(score AS BIGINT) AS score FROM {_values([m[:5] for m in X.MATCHES], 'text, query, path, start, score')}",
+    "index_add_remove": f"WITH {ENTRIES} SELECT entry_id, array_to_string(list_transform(string_split(title, ''), lambda c: lower(c)), ',') AS morae FROM entries WHERE entry_id % 3 <> 0",
+    "dictionary_scan": f"SELECT * FROM {_values(X.DICTIONARY.items(), 'word, morae')}",
+    "dictionary_compiled": f"SELECT * FROM {_values(X.DICTIONARY.items(), 'word, morae')}",
+    "dictionary_cached": f"SELECT * FROM {_values(X.DICTIONARY.items(), 'word, morae')}",
+    "dictionary_missing": "SELECT '' AS word, '' AS morae WHERE false",
+    "store_file": f"SELECT CAST(entry_id AS BIGINT) AS entry_id, type, title, url, command, args, CAST(access_count AS BIGINT) AS access_count FROM {_values(X.STORE_ROWS, 'entry_id, type, title, url, command, args, access_count')}",
+    "store_roundtrip": f"WITH {ENTRIES} SELECT entry_id, 'bookmark' AS type, title, url, access_count FROM entries",
+    "folder_listing": f"SELECT * FROM {_values(X.LISTING, 'name, is_dir')}",
+    "labels": f"SELECT * FROM {_values(X.LABELS, 'name, label')}",
+    "shown_parts": f"SELECT CAST(n AS BIGINT) AS n, args, prefix, suffix FROM {_values([(n, ','.join(a), p, x) for n, a, p, x in X.SHOWN], 'n, args, prefix, suffix')}",
+    "address_like": f"SELECT query, CAST(n AS BIGINT) AS n, is_address FROM {_values(X.ADDRESS_LIKE, 'query, n, is_address')}",
+    "title_cases": f"SELECT * FROM {_values(X.TITLES, 'html, title')}",
     "hourly_opens": "SELECT date_trunc('hour', ts) AS window_start, user_id AS entry_id, count(*) AS opens FROM events GROUP BY 1, 2",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import page_title
+from ..operators.stage import fixed
 from ..operators.store import SCHEMA
 
 
@@ -31,8 +32,8 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
 def page_entries(pages: DataFrame, events: DataFrame) -> DataFrame:
     """Pages as bookmarks whose use count is the number of events of the user with the page's id."""
     uses = events.groupBy(F.col("user_id").alias("entry_id")).agg(F.count("*").alias("access_count"))
-    rows = pages.select(
+    rows = fixed(pages.select(
         F.col("page_id").alias("entry_id"), F.lit("bookmark").alias("type"), page_title(F.col("html")).alias("title"), "url",
         F.lit(None).cast("string").alias("command"), F.lit(None).cast("array<string>").alias("args"),
-    )
+    ), "title")
     return rows.join(uses, "entry_id", "left").withColumn("access_count", F.coalesce("access_count", F.lit(0)).cast("long"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from readsearch.functions import fuzzy, kana, match, query, text
 from readsearch.functions.tables import DIGRAPH, SINGLE, TOKENS
-from readsearch.operators import complete, highlight, index, rank, store
+from readsearch.operators import complete, highlight, index, rank, stage, store
 from readsearch.plans import catalog
 from readsearch.plans import fixtures as X
 from readsearch.sources import dictionary, entries, listing
@@ -123,6 +123,64 @@ def test_unlimited_rank_is_complete(spark):
     assert [(r["k"], r["id"]) for r in got] == sorted(((r["k"], r["id"]) for r in got), key=lambda x: (-x[0], x[1]))
 
 
+def test_unlimited_rank_of_wide_rows(spark):
+    """Default shuffle settings and a payload that the sort key alone does not have."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        rows = spark.range(200_000).select(F.concat(F.lit("n"), F.md5(F.col("id").cast("string"))).alias("name"), F.lit(False).alias("is_dir"), F.repeat(F.md5(F.col("id").cast("string")), 12).alias("payload"))
+        got = rank.ranked(rows, [F.asc("name")], None)
+        assert tuple(got.agg(F.count("*"), F.min("rank"), F.max("rank"), F.countDistinct("rank")).first()) == (200_000, 1, 200_000, 200_000)
+        assert got.columns == [*rows.columns, "rank"] and got.where(F.length("payload") != 384).isEmpty()
+        got = complete.candidates(rows, "", limit=None).orderBy("rank")
+        assert [r["name"] for r in got.limit(500).collect()] == [r["name"] for r in rows.orderBy("name").limit(500).collect()]
+        assert tuple(got.agg(F.max("rank"), F.countDistinct("rank")).first()) == (200_000, 200_000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert rank.ranked(rows.limit(0), [F.asc("name")], None).isEmpty()
+
+
+def test_query_table_equals_single_queries(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("かきちゃんabi oAIN人事研究") for _ in range(rng.randrange(10))) for _ in range(60)] + [None, ""]
+    asked = ["ka", "kan", "chi", "io", "AI", "o", "b", "i o", "jin", "kenkyuu", "zz", "ab", "nb"]
+    items = index.with_index(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t", catalog._dictionary(spark))
+    table = spark.createDataFrame([(q,) for q in [*asked, "ka", "", None]], "q string")
+    one = lambda q: [(q, *r) for r in rank.index_search(items, q, "id", "t").collect()]
+    want = sorted(x for q in asked for x in one(q))
+    assert want == sorted(map(tuple, rank.table_search(items, table, "id", "t", "q").collect()))
+    assert want == sorted(map(tuple, rank.batch_search(items, asked, "id", "t").collect())) and len({x[2] for x in want}) == 2
+    assert rank.table_search(items, table.limit(0), "id", "t", "q").isEmpty() and rank.table_search(items.limit(0), table, "id", "t", "q").isEmpty()
+
+
+def test_titles(spark):
+    import html
+
+    rng = random.Random(4)
+    bits = ["&", "&amp;", "&#8217;", "&#x2014;", "&mdash;", "&eacute", "&notit;", "&#0;", "&#x80;", "&#55296;", "&#99999999999;", "a", ";", "&lt;b", "&#x1F600;", "&copy", "&unknown;", "&#;", "x&y"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 8))) for _ in range(400)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.unescape_html(F.col("t")).alias("u")).collect()
+    assert all(r["u"] == html.unescape(r["t"]) for r in got)
+    given = spark.createDataFrame([*X.TITLES, (None, ""), ("<style>" + "<" * 200_000, "")], "html string, title string")
+    assert all(r["title"] == r["t"] for r in given.select("title", text.page_title(F.col("html")).alias("t")).collect())
+
+
+def test_index_keeps_columns_and_rows_without_id(spark):
+    rows = spark.createDataFrame([(None, "研究", 7, "m"), (None, "人事", 8, "n"), (1, "言", 9, "o")], "id long, t string, _id long, morae string")
+    got = index.with_index(rows, "id", "t", catalog._dictionary(spark))
+    assert sorted(got.columns) == ["_id", "id", "morae", "segments", "t"]
+    assert {r["_id"]: r["morae"] for r in got.collect()} == {7: ["ke", "n", "kyu", "u"], 8: ["ji", "n", "ji"], 9: ["ge", "n"]}
+
+
+def test_stage_wants_a_shared_folder_on_a_cluster():
+    class Session:
+        conf = {}
+        sparkContext = type("C", (), {"master": "spark://host:7077", "_jsc": type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))})})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        stage.shared_dir(Session)
+
+
 def test_completion(spark):
     rows = spark.createDataFrame(X.LISTING, "name string, is_dir boolean")
     d = dictionary.empty(spark)
