@@ -1,13 +1,15 @@
-"""What the operators share: reading, words, checkpoints, batch slicing."""
+"""What the operators share: reading, words, batch slicing, bit tables."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stage import new_path, numbered, removed, shared_dir, stored  # noqa: F401  (shared with the modules here)
+
 #: A word, and a run between words, as regular expressions that Java, RE2 and Python read alike.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -17,25 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the cluster's
-    ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if path is None:
-        path = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='readsearch-')}"
-    if not held.isDefined():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there: later steps
-    neither recompute it nor lose it with an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def words(text: Column) -> Column:
     """The words of a text; none if it is null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
@@ -86,3 +69,30 @@ def marked(rows: DataFrame, hashed: Column, table_: DataFrame, name: str) -> Dat
     both = slot.join(F.broadcast(table_.withColumnsRenamed({"word": "_word", "bits": "_bits"})), F.shiftright("_slot", 6) == F.col("_word"), "left")
     hit = F.expr("coalesce(_bits & shiftleft(1L, cast(_slot & 63 AS int)), 0) <> 0")
     return both.withColumn(name, hit).drop("_slot", "_word", "_bits")
+
+
+def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bit table of the longs in ``hashes`` (h) for numpy: 2^bits bits, whatever
+    the corpus, of which at most 2^bits / 64 words come to the driver."""
+    bits = max(bits, 6)
+    slot = F.shiftrightunsigned("h", 64 - bits)
+    bit = F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))")
+    got = hashes.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(bit.alias("bits")).toArrow()
+    out = np.zeros(1 << bits >> 6, dtype=np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def has(table_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the unsigned hashes the bit table may hold."""
+    slot = hashes >> np.uint64(64 - (len(table_) * 64).bit_length() + 1)
+    return (table_[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def worker_state() -> dict:
+    """What a Python worker keeps from task to task; functions are shipped by
+    value, so their own modules' variables do not last."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("_worker_state", types.ModuleType("_worker_state")).__dict__
