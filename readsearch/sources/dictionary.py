@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,8 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "euc_jp") -> Data
     """(line_no, line) of a text file that is a few MB: it is decoded whole, as Spark's readers lack its encoding."""
     found = spark.read.format("binaryFile").load(path).select("content").first()
     text = bytes(found["content"]).decode(encoding, errors="replace") if found else ""
-    rows = [(i, x.removesuffix("\r")) for i, x in enumerate(text.split("\n"))]
-    return spark.createDataFrame(rows, "line_no long, line string")
+    lines = [x.removesuffix("\r") for x in text.split("\n")]
+    return spark.createDataFrame(pa.table({"line_no": pa.array(range(len(lines)), pa.int64()), "line": pa.array(lines, pa.string())}))
 
 
 def parse(lines: DataFrame) -> DataFrame:

@@ -38,3 +38,29 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_either_part_can_be_missing(monkeypatch):
+    """The lookup queries stay, and what can be imported of the rest."""
+    import importlib
+
+    import __spark_entry__ as entry
+
+    real, whole = importlib.import_module, set(entry.queries())
+    for gone in ("corpus_pipeline", "readsearch.llm.registry"):
+
+        def load(name, *rest, gone=gone):
+            if name == gone:
+                raise ModuleNotFoundError(f"No module named {name!r}", name="a_missing_wheel")
+            return real(name, *rest)
+
+        monkeypatch.setattr(importlib, "import_module", load)
+        with pytest.warns(UserWarning, match="left out"):
+            importlib.reload(entry)
+        names = set(entry.queries())
+        assert "combined_rank" in names and set(entry.oracle_sql()) <= names <= whole
+        assert ("pipeline" not in names) if gone == "corpus_pipeline" else not any(n.startswith("op") for n in names)
+        assert gone != "corpus_pipeline" or {n for n in whole if n.startswith("op")} <= names
+    monkeypatch.undo()
+    importlib.reload(entry)
+    assert set(entry.queries()) == whole
