@@ -1,32 +1,28 @@
 """Readings of kana and spellings of sound units."""
 
 # Fixed values, in kana order: single kana and their readings.
-SINGLE = dict(
-    zip(
-        "あいうえお" "かきくけこ" "さしすせそ" "たちつてと" "なにぬねの" "はひふへほ" "まみむめも" "やゆよ" "らりるれろ" "わをん"
-        "がぎぐげご" "ざじずぜぞ" "だぢづでど" "ばびぶべぼ" "ぱぴぷぺぽ" "ゔ" "ぁぃぅぇぉ" "ゃゅょ" "ゎ",
-        (
-            "a i u e o ka ki ku ke ko sa shi su se so ta chi tsu te to na ni nu ne no ha hi fu he ho ma mi mu me mo ya yu yo ra ri ru re ro wa wo n "
-            "ga gi gu ge go za ji zu ze zo da ji zu de do ba bi bu be bo pa pi pu pe po vu a i u e o ya yu yo wa"
-        ).split(),
-        strict=True,
-    )
-)
+SINGLE = {
+    "あ": "a", "い": "i", "う": "u", "え": "e", "お": "o", "か": "ka", "き": "ki", "く": "ku", "け": "ke", "こ": "ko",
+    "さ": "sa", "し": "shi", "す": "su", "せ": "se", "そ": "so", "た": "ta", "ち": "chi", "つ": "tsu", "て": "te", "と": "to",
+    "な": "na", "に": "ni", "ぬ": "nu", "ね": "ne", "の": "no", "は": "ha", "ひ": "hi", "ふ": "fu", "へ": "he", "ほ": "ho",
+    "ま": "ma", "み": "mi", "む": "mu", "め": "me", "も": "mo", "や": "ya", "ゆ": "yu", "よ": "yo", "ら": "ra", "り": "ri",
+    "る": "ru", "れ": "re", "ろ": "ro", "わ": "wa", "を": "wo", "ん": "n", "が": "ga", "ぎ": "gi", "ぐ": "gu", "げ": "ge",
+    "ご": "go", "ざ": "za", "じ": "ji", "ず": "zu", "ぜ": "ze", "ぞ": "zo", "だ": "da", "ぢ": "ji", "づ": "zu", "で": "de",
+    "ど": "do", "ば": "ba", "び": "bi", "ぶ": "bu", "べ": "be", "ぼ": "bo", "ぱ": "pa", "ぴ": "pi", "ぷ": "pu", "ぺ": "pe",
+    "ぽ": "po", "ゔ": "vu", "ぁ": "a", "ぃ": "i", "ぅ": "u", "ぇ": "e", "ぉ": "o", "ゃ": "ya", "ゅ": "yu", "ょ": "yo",
+    "ゎ": "wa",
+}
 
 # Pairs of kana that are one sound unit.
-DIGRAPH = dict(
-    zip(
-        (
-            "きゃ きゅ きょ ぎゃ ぎゅ ぎょ しゃ しゅ しょ じゃ じゅ じょ ちゃ ちゅ ちょ ぢゃ ぢゅ ぢょ にゃ にゅ にょ ひゃ ひゅ ひょ びゃ びゅ びょ ぴゃ ぴゅ ぴょ みゃ みゅ みょ りゃ りゅ りょ "
-            "ふぁ ふぃ ふぇ ふぉ うぃ うぇ うぉ ゔぁ ゔぃ ゔぇ ゔぉ てぃ でぃ とぅ どぅ つぁ つぃ つぇ つぉ しぇ じぇ ちぇ くぁ くぃ くぇ くぉ"
-        ).split(),
-        (
-            "kya kyu kyo gya gyu gyo sha shu sho ja ju jo cha chu cho ja ju jo nya nyu nyo hya hyu hyo bya byu byo pya pyu pyo mya myu myo rya ryu ryo "
-            "fa fi fe fo wi we wo va vi ve vo ti di tu du tsa tsi tse tso she je che kwa kwi kwe kwo"
-        ).split(),
-        strict=True,
-    )
-)
+DIGRAPH = {
+    "きゃ": "kya", "きゅ": "kyu", "きょ": "kyo", "ぎゃ": "gya", "ぎゅ": "gyu", "ぎょ": "gyo", "しゃ": "sha", "しゅ": "shu", "しょ": "sho",
+    "じゃ": "ja", "じゅ": "ju", "じょ": "jo", "ちゃ": "cha", "ちゅ": "chu", "ちょ": "cho", "ぢゃ": "ja", "ぢゅ": "ju", "ぢょ": "jo",
+    "にゃ": "nya", "にゅ": "nyu", "にょ": "nyo", "ひゃ": "hya", "ひゅ": "hyu", "ひょ": "hyo", "びゃ": "bya", "びゅ": "byu", "びょ": "byo",
+    "ぴゃ": "pya", "ぴゅ": "pyu", "ぴょ": "pyo", "みゃ": "mya", "みゅ": "myu", "みょ": "myo", "りゃ": "rya", "りゅ": "ryu", "りょ": "ryo",
+    "ふぁ": "fa", "ふぃ": "fi", "ふぇ": "fe", "ふぉ": "fo", "うぃ": "wi", "うぇ": "we", "うぉ": "wo", "ゔぁ": "va", "ゔぃ": "vi",
+    "ゔぇ": "ve", "ゔぉ": "vo", "てぃ": "ti", "でぃ": "di", "とぅ": "tu", "どぅ": "du", "つぁ": "tsa", "つぃ": "tsi", "つぇ": "tse",
+    "つぉ": "tso", "しぇ": "she", "じぇ": "je", "ちぇ": "che", "くぁ": "kwa", "くぃ": "kwi", "くぇ": "kwe", "くぉ": "kwo",
+}
 
 # Spellings that a query may use for another unit's name.
 VARIANTS = {"si": "shi", "ti": "chi", "tu": "tsu", "hu": "fu", "zi": "ji", "di": "ji"}
