@@ -139,8 +139,8 @@ def _matches(s: SparkSession) -> DataFrame:
         m = match.matched(F.col("text"), F.col("morae"), q)
         return F.when(F.col("text") == t, F.struct(F.lit(q).alias("query"), m.alias("m"), match.positions(F.col("text"), F.col("segments"), m, q).alias("lit")))
 
-    found = F.array(*[one(t, q) for t, q, *_ in X.MATCHES])
-    return rows.select("text", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("text", "x.query", "x.m", "x.lit")
+    found = stage.fixed(rows.select("text", F.array(*[one(t, q) for t, q, *_ in X.MATCHES]).alias("found")), "found")
+    return found.select("text", F.explode(F.filter("found", lambda x: x.isNotNull())).alias("x")).select("text", "x.query", "x.m", "x.lit")
 
 
 def reading_match_fixture(s, d):
@@ -197,7 +197,7 @@ def delete_reindex(s, d):
 def highlight_spans(s, d):
     rows = _entries(s, d, True)
     cut = highlight.spans(F.col("title"), highlight.title_positions(SUBSTRING, "reading"))
-    return rows.select("entry_id", F.explode(cut).alias("x")).select("entry_id", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), "x.lit")
+    return stage.fixed(rows.select("entry_id", cut.alias("cut")), "cut").select("entry_id", F.explode("cut").alias("x")).select("entry_id", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), "x.lit")
 
 
 def display(s, d):
