@@ -2,8 +2,8 @@
 
 Bytes of lower-cased text are embedded; filters of three widths run over
 windows of fixed length, each filter's greatest response is kept, and a softmax
-over languages reads those.  Trained in numpy on a bounded sample; applied to
-every window of every text.  A convolution over embedded bytes is a sum of
+over languages reads those.  Trained in numpy on windows drawn from all over the
+labelled texts that are not held out; applied to every window of every text.  A convolution over embedded bytes is a sum of
 table entries, so application looks pairs of bytes up instead of multiplying.
 """
 
@@ -13,15 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, table
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
-#: The training sample: at most so many labelled rows a language, a passage of so many
-#: characters of each, and so many languages (the most frequent ones).
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_LANGS = 512, 1500, 256
+#: The bound of the training sample: windows a language, of at most as many labelled rows, whole
+#: texts drawn from alike; with more than ``SAMPLE_LANGS`` languages each has fewer, none has none.
+SAMPLE_WINDOWS, SAMPLE_LANGS = 1024, 256
 STEPS, BATCH, RATE, SEED = 500, 64, 0.01, 7
 
 
@@ -49,12 +50,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int = SEED) -> Model | None:
-    """Fits the network by Adam on random windows, languages drawn evenly.  No text: no model."""
+    """Fits the network by Adam on random windows of the texts, languages drawn evenly.  No text: no model."""
     langs = sorted(set(labels))
     if not langs:
         return None
-    rng = np.random.default_rng(seed)
-    rows = {k: np.concatenate([windows(t)[0] for t, y in zip(texts, labels) if y == k]) for k in langs}
+    rng, of = np.random.default_rng(seed), {k: [] for k in langs}
+    for t, y in zip(texts, labels):
+        of[y].append(windows(t)[0])
+    rows = {k: np.concatenate(x) for k, x in of.items()}
     p = [rng.normal(0, 0.3, (256, EMBED)), *(rng.normal(0, (w * EMBED) ** -0.5, (w * EMBED, FILTERS)) for w in WIDTHS), np.zeros((len(WIDTHS) * FILTERS + 1, len(langs)))]
     m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
     for step in range(1, steps + 1):
@@ -136,33 +139,56 @@ def _remainder(id_col: str):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
+def _drawn(n: int):
+    """(y, b, h, w): windows of lower-cased texts; of a task's windows of one label
+    and bucket the one with the least hash."""
+
+    def run(batches):
+        least: dict[tuple[str, int], tuple[int, bytes]] = {}
+        for b in pieces(batches, 2 << 20):
+            for y, h, t in zip(*(c.to_pylist() for c in b.columns)):
+                data = t.lower().encode()
+                for i in range(0, len(data), WINDOW):
+                    w = data[i : i + WINDOW]
+                    x = xxhash.xxh64_intdigest(w, (h + i) & 0xFFFFFFFFFFFFFFFF)
+                    key, x = (y, x % n), x >> 1
+                    if key not in least or (x, w) < least[key]:
+                        least[key] = x, w
+        if least:
+            yield pa.record_batch([pa.array([k[0] for k in least]), pa.array([k[1] for k in least], pa.int64()), pa.array([v[0] for v in least.values()], pa.int64()), pa.array([v[1] for v in least.values()], pa.binary())], ["y", "b", "h", "w"])
+
+    return run
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model from the labelled rows that are not held out, of every label; see
-    SAMPLE_* for the bound: with more than SAMPLE_LANGS labels each has fewer rows."""
-    rows = docs.where(F.col(lang_col).isNotNull() & (_remainder(id_col) != 2) & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("y"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"))
+    """A model from the labelled rows that are not held out, of every label they
+    have and of whole texts.  Every window falls into one of SAMPLE_WINDOWS
+    buckets of its label by hash and the least of each is taken (see SAMPLE_* for
+    many labels), so at most so many windows and rows reach the driver.  Null and
+    empty texts teach nothing; no labelled text: no model."""
+    rows = docs.where(F.col(lang_col).isNotNull() & (_remainder(id_col) != 2) & (F.col(text_col) != "")).select(F.col(lang_col).alias("y"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"))
     n = rows.select("y").distinct().count()
-    bucket = F.pmod(F.col("h"), F.lit(max(1, SAMPLE_ROWS * min(n, SAMPLE_LANGS) // max(n, 1))))
-    drawn = rows.select("y", "h").groupBy("y", bucket.alias("b")).agg(F.min("h").alias("h")).select("y", "h")
-    start = (F.pmod(F.xxhash64("h"), F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(0)) + 1) + 1).cast("int")
-    got = rows.join(F.broadcast(drawn), ["y", "h"]).select("y", "h", F.lower(F.substring(F.col("t"), start, F.lit(SAMPLE_CHARS))).alias("t")).groupBy("y", "h").agg(F.min("t").alias("t"))
-    sample = sorted((r["y"], r["h"], r["t"]) for r in got.collect())
-    return train([t.encode() for _, _, t in sample if t], [y for y, _, t in sample if t])
+    buckets = max(1, SAMPLE_WINDOWS * min(n, SAMPLE_LANGS) // max(n, 1))
+    drawn = rows.mapInArrow(_drawn(buckets), "y string, b long, h long, w binary").groupBy("y", "b").agg(F.min(F.struct("h", "w")).alias("m"))
+    sample = sorted((r["y"], r["b"], bytes(r["w"])) for r in drawn.select("y", "b", "m.w").collect())
+    return train([w for _, _, w in sample], [y for y, _, _ in sample])
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score): one row per row, from the text alone.
+    """(doc_id, lang_pred, score): one row per row, from the whole text alone, however long.
 
     ``und`` with score 0 where the text is null or has no letter, or where
-    there was nothing to learn from; other columns of ``docs`` are never read.
+    there was nothing to learn from; repeated rows and null ids are read like any
+    other, no rows give none; other columns of ``docs`` are never read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model and (model.langs, model.embed, model.filters, model.out))
 
     def run(batches):
-        reader = Reader(held.value) if held.value else None
+        reader = Reader(Model(*held.value)) if held.value else None
         for b in pieces(batches, 2 << 20):
             texts = b.column(1).to_pylist()
             lang, score = reader.predict(texts) if reader else (["und"] * len(texts), [0.0] * len(texts))
-            yield pa.record_batch([b.column(0), pa.array(lang), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            yield pa.record_batch([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
