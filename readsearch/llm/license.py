@@ -1,10 +1,10 @@
 """License scans by canonical digests.
 
-A text is reduced to a canonical form: lower case, no copyright lines, no
+A text is reduced to a canonical form: lower case, no copyright notices, no
 punctuation, one spelling of words that are written in several ways.  Entire
-lines are then looked up by digest among the one-line notices.  Entire texts
-are looked up by the digest of a form of their own, which loses real copyright
-notices only, however the prose is wrapped.  Built-in functions only.
+lines are looked up by digest among the one-line notices; the entire text, as one
+line without its title and lines that reserve rights, is joined by digest to the
+known licences, however its prose is wrapped.  Built-in functions only.
 """
 
 from __future__ import annotations
@@ -70,11 +70,16 @@ NOTICES = {
     "All rights reserved.": "proprietary",
 }
 
-#: Pattern and replacement, in order, on lower-cased text whose lines are kept.
-#: ``\\1`` is the first group.  The last ones leave words and line ends alone.
+_SIGN = r"(\(c\)|©|&copy;)"
+_YEAR = r"([\[<{(]? ?(19|20)\d\d|[\[<{]|yyyy|year\b)"
+
+#: Pattern and replacement, in order, on lower-cased text whose lines are kept;
+#: Java and RE2 read them alike.  ``\\1`` is the first group.  A line is a notice if
+#: a sign or a year stands beside its first word; prose that a wrap lets begin with
+#: "copyright" stays.
 STEPS = (
     (r"[\r\x0B\x0C\t ]+", " "),
-    (r"(^|\n) ?(copyright|\(c\)|©)[^\n]*", r"\1"),
+    (rf"(^|\n) ?(copyright ?[:,]? ?({_SIGN}|{_YEAR})|{_SIGN} ?(copyright|{_YEAR})|©)[^\n]*", r"\1"),
     (r"licenc(e|ing)", r"licens\1"),
     (r"(acknowledg|judg)ement", r"\1ment"),
     (r"(author|organ|recogn|initial|util|custom)is(e|ing|ation)", r"\1iz\2"),
@@ -84,60 +89,56 @@ STEPS = (
     (r"copyright owner", "copyright holder"),
     (r"https?://", ""),
     (r"[^\p{L}\p{N}\n]+", " "),
-    (r" ?\n ?", "\n"),
-)
-
-_SIGN = r"(\(c\)|©|&copy;)"
-_YEAR = r"([\[<{(]? ?(19|20)\d\d|[\[<{]|yyyy|year\b)"
-
-#: As ``STEPS``, for entire texts.  A line is a notice if a sign or a year stands
-#: beside its first word, or if nothing but blank lines, notices and a line of a
-#: few words without a full stop, a title, stands above it; prose that a wrap lets
-#: begin with "copyright" stays.  Lines that reserve all rights, and an opening
-#: title with a blank line below, are dropped too.
-TEXT_STEPS = (
-    STEPS[0],
-    (rf"(^|\n) ?(copyright ?[:,]? ?({_SIGN}|{_YEAR})|{_SIGN} ?(copyright|{_YEAR})|©)[^\n]*", r"\1"),
-    (r"^([ \n]*+(?:(?!copyright)[^ \n.,;]+(?: [^ \n.,;]+){0,5} ?\n[ \n]*+)?)(?:copyright[^\n]*+[ \n]*+)++", r"\1"),
-    (r"(^|\n) ?all rights reserved ?\.?(?= ?(\n|$))", r"\1"),
-    (r"^[ \n]*+(?=[^\n]*\b(?:licen[cs]e|mit|isc|bsd|0bsd|zlib)\b)[^ \n;]+(?: [^ \n;]+){0,9} ?\n(?: ?version [^\n]{0,40}\n)?(?: ?[=*-]+ ?\n)?(?= ?\n)", ""),
-    *STEPS[2:],
+    (r"^ | ?\n ?| $", "\n"),
 )
+RIGHTS, RESERVED = "all rights reserved", "proprietary"
+#: An opening title has one of these words in its first line, at most so many lines of so many words, and a blank line below.
+TITLE = r"\b(license|licence|mit|isc|bsd|0bsd|zlib)\b"
+TITLE_LINES, TITLE_WORDS = 3, 10
+#: Each known text and notice has one of these, and so has any text of the same form.
+HINTS = ("licens", "licenc", "permission", "redistribution", "rights reserved")
 
-#: Each known text has one of these, and so has any text of the same form.
-HINTS = ("licens", "permission", "redistribution")
 
-
-def _reduced(text: Column, steps) -> Column:
+def canonical(text: Column) -> Column:
+    """The canonical form of a text, its lines kept; null counts as empty."""
     out = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, by in steps:
+    for pattern, by in STEPS:
         out = F.regexp_replace(out, pattern, by.replace("\\", "$"))
     return out
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text, its lines kept; null counts as empty."""
-    return _reduced(text, STEPS)
+def _from(lines: Column, at: Column) -> Column:
+    """The lines from the one at a place counted from 1; none from 0."""
+    return F.when(at > 0, F.slice(lines, at, F.size(lines))).otherwise(F.array().cast("array<string>"))
 
 
-def whole(text: Column) -> Column:
-    """The form of an entire text, as one line."""
-    return flat(_reduced(text, TEXT_STEPS))
+def whole(lines: Column) -> Column:
+    """The form of an entire text, as one line, from its canonical lines: without
+    lines that reserve all rights, without an opening title, and without the lines
+    below it that begin with "copyright"."""
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  (``value`` is computed once)
+    short = lambda line: F.size(F.split(line, " ")) <= TITLE_WORDS
+
+    def untitled(x):
+        k = F.array_position(x, "").cast("int") - 1
+        titled = (k >= 1) & (k <= TITLE_LINES) & F.get(x, F.lit(0)).rlike(TITLE) & F.forall(F.slice(x, F.lit(1), F.greatest(k, F.lit(0))), short)
+        titled = titled & F.exists(_from(x, k + 1), lambda y: y != "")  # else it is the text
+        return F.when(titled, _from(x, k + 1)).otherwise(x)
+
+    plain = F.transform(lines, lambda x: F.when(x == RIGHTS, "").otherwise(x))
+    opened = lambda x: _from(x, F.array_position(F.transform(x, lambda y: (y != "") & ~y.startswith("copyright")), True).cast("int"))
+    prose = once(once(once(plain, opened), untitled), opened)
+    return F.array_join(F.filter(prose, lambda x: x != ""), " ")
 
 
 def _hinted(text: Column) -> Column:
     low = F.lower(text)
-    out = low.contains("licenc")
+    out = F.lit(False)
     for word in HINTS:
         out = out | low.contains(word)
     return out
 
 
-def flat(lines: Column) -> Column:
-    """A canonical text as one line."""
-    return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
-
-
 def texts() -> list[tuple[str, str]]:
     """(name, text) of all licences that are known: ``TEXTS`` and the files beside
     this module; those with terms that end are known without their appendix too."""
@@ -149,32 +150,42 @@ def texts() -> list[tuple[str, str]]:
     return out
 
 
-def known(spark: SparkSession, given: Iterable[tuple[str, str]] | None = None) -> DataFrame:
-    """(known_digest, license) of the texts, by default ``TEXTS``: a row per form;
-    of several names the first in order."""
-    rows = spark.createDataFrame(list(TEXTS.items() if given is None else given), "license string, text string")
-    return rows.groupBy(F.sha2(whole(F.col("text")), 256).alias("known_digest")).agg(F.min("license").alias("license"))
+def known(spark: SparkSession, given: Iterable[tuple[str, str]] | None = None) -> list[tuple[str, str, bool]]:
+    """(digest, name, hinted) of the given texts, by default ``texts()``: one per
+    form, of several names the first in order; whether the form has a hint."""
+    rows = spark.createDataFrame(list(texts() if given is None else given), "license string, text string")
+    forms = rows.select("license", whole(F.split(canonical(F.col("text")), "\n")).alias("form"))
+    got = forms.where("form <> ''").groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"), F.first(_hinted(F.col("form"))).alias("hinted"))
+    return [tuple(r) for r in got.orderBy("digest").collect()]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_: Iterable[tuple[str, str]] | None = None) -> DataFrame:
-    """(doc_id, text_digest, license, notices): one row per row.
+    """(doc_id, license, notices, text_digest): one row per row.
 
     ``license`` names the licence whose entire text the text is, ``notices``
-    (array, sorted) those of lines that are one-line notices.  ``table_`` are
-    the (name, text) to find, by default ``texts()``.  An empty, null or
-    unknown text has no licence and no notices; a null id stays null.  Other
-    columns of ``docs`` are never read.
+    (array, sorted) those of lines that are one-line notices; a line that reserves
+    all rights is none in the text of a licence.  ``table_`` are the (name, text)
+    to find, by default ``texts()``.  ``text_digest`` is the digest that is joined;
+    texts without a word that every known text has can't be one and have none.  An
+    empty, null or unknown text has no licence and no notices; repeated rows
+    repeat, a null id stays null, a text may be of any length that a cell holds;
+    no rows give none.  Other columns of ``docs`` are never read.
     """
-    spark, wanted = docs.sparkSession, texts() if table_ is None else list(table_)
-    lookup = F.create_map(*[x for line, name in NOTICES.items() for x in (F.sha2(flat(canonical(F.lit(line))), 256), F.lit(name))])  # folded to a literal
-    form = F.sha2(whole(F.col(text_col)), 256)
-    if table_ is None or all(any(h in r[0] for h in HINTS) for r in spark.createDataFrame(wanted, "license string, text string").select(whole(F.col("text"))).collect()):
-        form = F.when(_hinted(F.col(text_col)), form)
-    rows = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("_c"), form.alias("_w"))
-    rows = rows.select("doc_id", F.split("_c", "\n").alias("_l"), F.sha2(flat(F.col("_c")), 256).alias("text_digest"), "_w")
-    found = F.filter(F.transform("_l", lambda x: F.try_element_at(lookup, F.sha2(F.trim(x), 256))), lambda x: x.isNotNull())
-    names = F.broadcast(known(spark, wanted))  # a row per form of the known texts
-    return rows.join(names, F.col("_w") == F.col("known_digest"), "left").select("doc_id", "text_digest", "license", F.array_sort(F.array_distinct(found)).alias("notices"))
+    spark = docs.sparkSession
+    found = known(spark, table_)
+    lookup = F.create_map(*[x for line, name in NOTICES.items() for x in (F.sha2(F.trim(F.regexp_replace(canonical(F.lit(line)), "\n", "")), 256), F.lit(name))])  # folded to a literal
+    hinted = _hinted(F.col(text_col)) if all(h for _, _, h in found) else F.lit(True)
+    lines = F.when(hinted, F.split(canonical(F.col(text_col)), "\n"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), lines.alias("_l"))
+    names = F.filter(F.transform("_l", lambda x: F.try_element_at(lookup, F.sha2(x, 256))), lambda x: x.isNotNull())
+    rows = rows.select("doc_id", F.coalesce(F.array_sort(F.array_distinct(names)), F.array().cast("array<string>")).alias("_n"), F.when(F.col("_l").isNotNull(), F.sha2(whole(F.col("_l")), 256)).alias("text_digest"))
+    if found:  # a row per form of the known texts
+        forms = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(d).alias("_digest"), F.lit(n).alias("license")) for d, n, _ in found])))
+        rows = rows.join(F.broadcast(forms), F.col("text_digest") == F.col("_digest"), "left").drop("_digest")
+    else:
+        rows = rows.withColumn("license", F.lit(None).cast("string"))
+    notices = F.when(F.col("license").isNotNull(), F.array_remove("_n", RESERVED)).otherwise(F.col("_n"))
+    return rows.select("doc_id", "license", notices.alias("notices"), "text_digest")
 
 
 def op8_license(spark, sf_dir: str) -> DataFrame:
@@ -188,19 +199,30 @@ def _sql() -> str:
         out = f"lower(coalesce({x}, ''))"
         for pattern, by in STEPS:
             out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(by) if by != chr(10) else 'chr(10)'}, 'g')"
-        return out
+        return f"string_split({out}, chr(10))"
 
-    one = lambda x: f"trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'))"
-    texts = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in TEXTS.items())
+    after = lambda test: f"CASE WHEN list_position(list_transform(l, lambda y: {test}), true) > 0 THEN l[list_position(list_transform(l, lambda y: {test}), true):] ELSE [] END"
+    given = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in texts())
     notices = ", ".join(f"({quoted(k)}, {quoted(t)})" for t, k in NOTICES.items())
+    hinted = " OR ".join(f"contains(lower(text), {quoted(h)})" for h in HINTS)
     return f"""
-WITH t AS (SELECT k AS license, sha256({one(lines("x"))}) AS dig FROM (VALUES {texts}) v(k, x)),
-n AS (SELECT k AS notice, {one(lines("x"))} AS line FROM (VALUES {notices}) v(k, x)),
-d AS (SELECT doc_id, {lines("text")} AS c FROM documents),
-e AS (SELECT doc_id, unnest(string_split(c, chr(10))) AS line FROM d),
-f AS (SELECT doc_id, string_agg(DISTINCT notice, ',' ORDER BY notice) AS notices FROM e JOIN n ON trim(e.line) = n.line GROUP BY doc_id)
-SELECT d.doc_id, t.license, coalesce(f.notices, '') AS notices, sha256({one("c")}) AS text_digest
-FROM d LEFT JOIN t ON sha256({one("c")}) = t.dig LEFT JOIN f ON d.doc_id = f.doc_id
+WITH x AS (SELECT -1 AS n, k AS name, CAST(NULL AS BIGINT) AS doc_id, {lines("v.x")} AS l FROM (VALUES {given}) v(k, x)
+  UNION ALL SELECT 1, NULL, doc_id, {lines("text")} FROM documents WHERE {hinted}),
+a AS (SELECT n, name, doc_id, list_transform(l, lambda y: CASE WHEN y = '{RIGHTS}' THEN '' ELSE y END) AS l FROM x),
+b AS (SELECT n, name, doc_id, {after("y <> '' AND NOT starts_with(y, 'copyright')")} AS l FROM a),
+c AS (SELECT n, name, doc_id, l, coalesce(list_position(l, ''), 0) - 1 AS k FROM b),
+d AS (SELECT n, name, doc_id, CASE WHEN k BETWEEN 1 AND {TITLE_LINES} AND regexp_matches(l[1], {quoted(TITLE)})
+        AND len(list_filter(l[1:k], lambda y: len(string_split(y, ' ')) > {TITLE_WORDS})) = 0
+        AND len(list_filter(l[k + 1:], lambda y: y <> '')) > 0 THEN l[k + 1:] ELSE l END AS l FROM c),
+e AS (SELECT n, name, doc_id, {after("y <> '' AND NOT starts_with(y, 'copyright')")} AS l FROM d),
+f AS (SELECT n, name, doc_id, sha256(array_to_string(list_filter(l, lambda y: y <> ''), ' ')) AS digest FROM e),
+known AS (SELECT digest, min(name) AS license FROM f WHERE n < 0 AND digest <> sha256('') GROUP BY digest),
+notes AS (SELECT k AS notice, trim(array_to_string({lines("v.x")}, '')) AS line FROM (VALUES {notices}) v(k, x)),
+found AS (SELECT doc_id, license, digest FROM f LEFT JOIN known USING (digest) WHERE n > 0),
+per AS (SELECT u.doc_id, string_agg(DISTINCT notice, ',' ORDER BY notice) AS notices FROM (SELECT doc_id, unnest(l) AS line FROM x WHERE n > 0) u
+  JOIN notes USING (line) JOIN found ON u.doc_id = found.doc_id WHERE license IS NULL OR notice <> '{RESERVED}' GROUP BY u.doc_id)
+SELECT documents.doc_id, license, coalesce(notices, '') AS notices, digest AS text_digest
+FROM documents LEFT JOIN found ON documents.doc_id = found.doc_id LEFT JOIN per ON documents.doc_id = per.doc_id
 """
 
 

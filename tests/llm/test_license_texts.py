@@ -36,9 +36,30 @@ def test_table_of_texts(spark):
     given = license.texts()
     assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= {n for n, _ in given}
     assert scanned(spark, [t for _, t in given]) == [n for n, _ in given]
-    assert license.known(spark, given).count() == len(given)
-    forms = spark.createDataFrame(given, "n string, text string").select(license.whole(license.F.col("text"))).collect()
-    assert all(any(h in r[0] for h in license.HINTS) for r in forms)
+    known = license.known(spark)
+    assert len(known) == len(given) and all(hinted for _, _, hinted in known)
+
+
+def test_scan_equals_sql(spark, tmp_path):
+    """Texts of all known licences, wrapped, titled, changed, beside notices and others."""
+    import duckdb
+
+    rows = [t for _, t in license.texts()] + [wrapped(t, w) for t in license.TEXTS.values() for w in range(60, 101, 9)]
+    rows += ["Copyright A B\nAll rights reserved.\n\n" + t for t in license.TEXTS.values()] + ["A Title Without The Word\n\n" + t for t in license.TEXTS.values()]
+    rows += [t + "\nmore" for t in license.TEXTS.values()] + ["text\nReleased  under the MIT Licence!\nAll rights reserved.", " All rights reserved ", "license", "", None, "\n\n", "MIT License\n\n", "é licence"]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(license.OP8_SQL).fetchall()
+    got = [tuple(r) for r in license.op8_license(spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert sum(r[1] is not None for r in got) >= len(license.texts()) + 6 * len(license.TEXTS) and not any(r[1] and "proprietary" in r[2] for r in got)
+
+
+def test_empty_and_repeated(spark):
+    rows = spark.createDataFrame([(1, license.TEXTS["MIT"])] * 2 + [(None, None)], "doc_id long, text string")
+    assert [r["license"] for r in license.scan(rows).orderBy("doc_id").collect()] == [None, "MIT", "MIT"]
+    assert license.scan(rows.limit(0)).isEmpty() and license.scan(rows, table_=[]).where("license IS NOT NULL").isEmpty()
 
 
 def test_titles_and_rights(spark):
