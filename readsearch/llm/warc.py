@@ -5,14 +5,17 @@ version 1 lines have five fields, version 2 lines ten, and the last field
 declares the length of what follows.  Each record becomes a WARC record with an
 identifier derived from its content, an ISO timestamp, a type and digests.
 Archives are written and read through Spark's own file access, so they can lie
-in any store: WARC headers and pages are UTF-8, and the two line ends that close
-a record are the line separator of a text file.  Reading goes by declared
-lengths alone.
+in any store: a task bundles records up to ``FILE_BYTES``, a bundle is one line
+of a text file whose line separator is the two line ends that close a record,
+and a file holds one bundle.  Payloads are bytes and are written as they are.
+Reading goes by declared lengths alone.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import marked, pieces, shared_dir, slots, stored, table
+from .common import marked, new_path, pieces, removed, slots, stored, table
 
 #: Fields of the header lines of either version (fixed by the format).
 FIELDS = {
@@ -32,7 +35,8 @@ FIELDS = {
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST_REVISIT = 1000
-FILE_RECORDS = 2000
+#: Bytes of an archive file, unless a single record has more.
+FILE_BYTES = 32 << 20
 EPOCH = "20000101000000"
 
 
@@ -60,17 +64,16 @@ def arc_record(version: int, url: str, date: str, content_type: str, block: byte
     return f"{safe} 0.0.0.0 {date} {content_type} {mid[version]}{len(block)}\n".encode() + block
 
 
-def read_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The records of an ARC file after the one that describes it."""
-    version, at = None, 0
-    while at < len(data):
-        if data[at] == 0x0A:  # the line end between records
-            at += 1
+def read_arc(data: bytes | io.BufferedIOBase) -> Iterator[ArcRecord]:
+    """The records of an ARC file after the one that describes it.  Of a stream
+    no more than a record is held."""
+    stream, version = io.BytesIO(data) if isinstance(data, bytes) else data, None
+    while raw := stream.readline():
+        if raw == b"\n":  # the line end between records
             continue
-        end = data.find(b"\n", at)
-        if end < 0:
+        if not raw.endswith(b"\n"):
             raise ArchiveError("a header line has no end")
-        line = data[at:end].decode("utf-8", errors="replace").rstrip("\r")
+        line = raw[:-1].decode("utf-8", errors="replace").rstrip("\r")
         parts = line.split(" ")
         if version is None:
             if not line.startswith("filedesc://"):
@@ -81,7 +84,7 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
             length = int(parts[-1])
         except ValueError:
             raise ArchiveError(f"no length: {line[:80]!r}") from None
-        block = data[end + 1 : end + 1 + length]
+        block = stream.read(length) if length >= 0 else b""
         if length < 0 or len(block) != length:
             raise ArchiveError("a declared length exceeds the file")
         if version is None:
@@ -91,7 +94,6 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
                 raise ArchiveError(f"unknown version {version}")
         else:
             yield ArcRecord(dict(zip(FIELDS[version], parts)), block)
-        at = end + 1 + length
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -117,9 +119,10 @@ def record_id(url: str, date: str, key: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key} {date} {url}')}>"
 
 
-def to_warc(record: ArcRecord, key: str = "", refers_to: str | None = None) -> bytes:
+def to_warc(record: ArcRecord, key: str = "", refers_to: str | None = None, source: str = "") -> bytes:
     """The WARC record without its closing line ends.  With ``refers_to`` it is
-    a revisit: the head of the message alone, and the digest of the full payload."""
+    a revisit: the head of the message alone, and the digest of the full payload.
+    ``key`` is the row of a table it comes from, ``source`` the place in an archive."""
     h = record.header
     head, payload = split_http(record.block)
     url, kind = h["url"], "response" if head else "resource"
@@ -127,8 +130,8 @@ def to_warc(record: ArcRecord, key: str = "", refers_to: str | None = None) -> b
     lines = ["WARC/1.1"]
     if refers_to is not None:
         kind, block = "revisit", head
-    lines += [f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(url, h['date'], key)}", f"WARC-Date: {timestamp(h['date'])}", f"WARC-Target-URI: {url}", f"WARC-IP-Address: {h['ip']}"]
-    lines += [f"X-Row-Key: {key}"] if key else []
+    lines += [f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(url, h['date'], source or key)}", f"WARC-Date: {timestamp(h['date'])}", f"WARC-Target-URI: {url}", f"WARC-IP-Address: {h['ip']}"]
+    lines += [f"X-Row-Key: {key}"] if key else [f"X-Source: {source}"] if source else []
     lines += [f"WARC-Refers-To: {refers_to}", f"WARC-Profile: {PROFILE}"] if refers_to is not None else []
     lines += [f"WARC-Payload-Digest: sha1:{hashlib.sha1(payload).hexdigest()}", f"WARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}", f"X-Payload-Length: {len(payload)}"]
     lines += [f"Content-Type: {'application/http; msgtype=response' if head else h['content_type']}", f"Content-Length: {len(block)}"]
@@ -142,7 +145,7 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         end = data.find(b"\r\n\r\n", at)
         if end < 0 or not data.startswith(b"WARC/", at):
             raise ArchiveError(f"no record at byte {at}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8").split("\r\n")[1:])}
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8", errors="replace").split("\r\n")[1:])}
         n = int(headers["content-length"])
         block = data[end + 4 : end + 4 + n]
         if len(block) != n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
@@ -167,31 +170,84 @@ def revisits(pages: DataFrame) -> DataFrame:
     return prints.join(last, "sha").where("page_id < refers_to").select("page_id", "sha", "refers_to").distinct()
 
 
+def _bundled(records: Iterator[bytes], limit: int) -> Iterator[pa.RecordBatch]:
+    """Records, closed by what follows each, in cells of up to ``limit`` bytes."""
+    held, size = [], 0
+    for record in records:
+        if held and size + len(record) > limit:
+            yield pa.record_batch([pa.array([b"\r\n\r\n".join(held)], pa.binary())], ["value"])
+            held, size = [], 0
+        held.append(record)
+        size += len(record) + 4
+    if held:
+        yield pa.record_batch([pa.array([b"\r\n\r\n".join(held)], pa.binary())], ["value"])
+
+
+def _write(bundles: DataFrame, path: str) -> None:
+    """A file for each bundle.  The cast leaves bytes alone, and so does the writer."""
+    bundles.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 1).text(path)
+
+
 def write_archives(pages: DataFrame, path: str, version: int = 1) -> None:
     """Writes a WARC record per row of ``pages`` (page_id, url, html) into files
-    of ``path``: each page is put as an ARC record, parsed, and converted."""
+    of ``path``: each page is put as an ARC record, parsed, and converted.
+
+    Null and empty pages have an empty payload; repeated rows, null ids and equal
+    payloads are written one by one, those that ``revisits`` names as revisits;
+    no rows give no records.  Other columns are never read.
+    """
     clean = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
 
     def run(batches):
-        for b in pieces(batches):
-            out = []
-            for page, url, html, refers in zip(*(c.to_pylist() for c in b.columns)):
-                arc = arc_file_header(version) + arc_record(version, url, EPOCH, "text/html", http_message(html.encode())) + b"\n"
-                (record,) = read_arc(arc)
-                out.append(to_warc(record, "" if page is None else str(page), None if refers is None else f"urn:page:{refers}").decode())
-            yield pa.record_batch([pa.array(out, pa.string())], ["value"])
+        def records():
+            for b in pieces(batches):
+                for page, url, html, refers in zip(*(c.to_pylist() for c in b.columns)):
+                    arc = arc_file_header(version) + arc_record(version, url, EPOCH, "text/html", http_message(html.encode())) + b"\n"
+                    (record,) = read_arc(arc)
+                    yield to_warc(record, "" if page is None else str(page), None if refers is None else f"urn:page:{refers}")
+
+        yield from _bundled(records(), FILE_BYTES)
 
     again = stored(revisits(clean))
     key = F.xxhash64("page_id", "sha")
     seen = marked(clean.withColumn("sha", _digest()), key, slots(again.select(key.alias("h"))), "again")
     once = seen.where("NOT again").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))  # stays where it is
     rows = once.unionByName(seen.where("again").join(again, ["page_id", "sha"], "left").select("page_id", "url", "html", "refers_to"))
-    rows.mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    _write(rows.mapInArrow(run, "value binary"), path)
+
+
+def convert(spark: SparkSession, source: str, path: str) -> None:
+    """Converts every ARC file of the folder ``source`` (``.arc``, or ``.arc.gz`` with
+    a member per record or one in all) into WARC files below ``path``.
+
+    Payloads are kept byte by byte, records that repeat are written again; a
+    folder without such files gives none.  A damaged file is an ``ArchiveError``.
+    A compressed file is read as it streams; a file has to fit in a cell (2 GiB).
+    """
+
+    def run(batches):
+        def records():
+            for b in batches:
+                for name, content in zip(b.column(0).to_pylist(), b.column(1)):
+                    raw = content.as_py()
+                    stream = gzip.open(io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
+                    try:
+                        for i, record in enumerate(read_arc(stream)):
+                            yield to_warc(record, source=f"{name.rpartition('/')[2]}:{i}")
+                    except (EOFError, OSError) as error:
+                        raise ArchiveError(f"{name}: {error}") from None
+
+        yield from _bundled(records(), FILE_BYTES)
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{arc,arc.gz}").load(source)
+    _write(found.select("path", "content").mapInArrow(run, "value binary"), path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, record_type, payload_bytes, payload_digest, refers_to, record_id, date, uri, payload) of every record below ``path``.
-    A response's digest and length are taken from its payload, and must be those it declares."""
+    A response's digest and length are taken from its payload, and must be those it
+    declares.  Empty payloads, repeated records and records without a row's id are
+    rows like any other; no files give no rows."""
     names = ["page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "record_id", "date", "uri", "payload"]
     schema = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, record_id string, date string, uri string, payload binary"
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
@@ -226,9 +282,11 @@ def op9_warc(spark, sf_dir: str) -> DataFrame:
     """Pages with a null or empty payload are responses of zero bytes; a null
     page_id is written and read as none and neither revisits nor is revisited;
     rows alike in id and payload are both what their id is."""
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = stored(read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    removed(spark, path)
+    return rows
 
 
 OP9_SQL = r"""
