@@ -81,8 +81,9 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     kind).  A conversation is the unit of work: its turns meet in one row.
     Other columns are never read.
     """
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"))
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    alone = F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id())
+    rows = turns.select(F.col(conv_col).alias("conv_id"), alone.alias("alone"), F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"))
+    whole = rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     start = F.struct(F.lit("start").alias("state"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("broken"))
 
     def step(acc, t):
@@ -134,13 +135,14 @@ def op10_chat(spark, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
     made = format_chats(given.unionByName(more))
-    borne = F.array_join(F.transform(F.filter("segments", lambda x: x["loss"]), lambda x: unescape(x["text"])), "")
-    back = read_chats(made.select(F.struct("conv_id", F.length("formatted").alias("n"), borne.alias("loss")).alias("k"), "formatted"), "k")
+    masks = F.transform(F.filter("segments", lambda x: x["kind"] == "text"), lambda x: x["loss"])  # one per turn
+    back = read_chats(made.select(F.struct("conv_id", "broken_at", F.length("formatted").alias("n"), masks.alias("masks")).alias("k"), "formatted"), "k")
     said = F.array_join(F.transform("turns", lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.col("conv_id.loss")  # by the segments' own flags
-    return back.select(
-        F.col("conv_id.conv_id").alias("conv_id"), "n_turns", F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"), F.col("conv_id.n").cast("long").alias("formatted_chars"),
+    borne = F.array_join(F.zip_with("turns", "conv_id.masks", lambda t, loss: F.when(loss, t["text"]).otherwise("")), "")  # texts read back, masks as emitted
+    rows = back.select("conv_id.conv_id", "conv_id.broken_at", "conv_id.n", "n_turns", said.alias("said"), borne.alias("loss"))
+    return rows.select(
+        "conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.col("n").cast("long").alias("formatted_chars"), "broken_at",
     )
 
 
@@ -151,10 +153,12 @@ WITH c AS (
 t AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS said,
          coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS loss,
+         string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn) AS roles,
          sum(length(text) + 4 * (length(text) - length(replace(text, '&', ''))) + 3 * (length(text) - length(replace(text, '<', '')))
              + 4 * (length(text) - length(replace(text, '[', ''))) + 4 * (length(text) - length(replace(text, ']', '')))
              + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 15 ELSE 8 END) AS n
   FROM c GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars,
+       CAST(CASE WHEN length(regexp_extract(roles, '^s?(ua)*u?')) < n_turns THEN length(regexp_extract(roles, '^s?(ua)*u?')) WHEN roles = 's' THEN 1 END AS BIGINT) AS broken_at
 FROM t
 """

@@ -56,6 +56,43 @@ def test_archives(spark, tmp_path, version):
     assert warc.read_archives(spark, str(tmp_path / "none")).isEmpty()
 
 
+def test_files_roll_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    rows = [(i, f"u{i}", "x" * (60_000 if i == 7 else 3000) + str(i)) for i in range(40)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), str(tmp_path / "a"))
+    sizes = [p.stat().st_size for p in (tmp_path / "a").glob("part-*")]
+    assert len(sizes) >= 8 and sum(n > 20_010 for n in sizes) == 1
+    assert warc.read_archives(spark, str(tmp_path / "a")).count() == 40
+
+
+def test_convert_arc_files(spark, tmp_path):
+    import gzip
+
+    binary = bytes(range(256)) * 40
+    blocks = [b"", b"\n\nx", warc.http_message(b"<p>a</p>"), b"HTTP/1.0 200 OK\r\n\r\n" + binary, binary]
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for version, name in ((1, "one.arc"), (2, "deep/two.arc.gz"), (1, "three.arc.gz")):
+        records = [warc.arc_file_header(version)] + [warc.arc_record(version, f"http://{version}/{i}", "20010203040506", "image/x", b) + b"\n" for i, b in enumerate(blocks)]
+        data = b"".join(records)
+        if name.startswith("deep"):
+            data = b"".join(map(gzip.compress, records))
+        elif name.endswith("gz"):
+            data = gzip.compress(data)
+        (tmp_path / "in" / name).write_bytes(data)
+    (tmp_path / "in" / "other.txt").write_text("no archive")
+    warc.convert(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    got = warc.read_archives(spark, str(tmp_path / "out")).collect()
+    kinds = ["resource", "resource", "response", "response", "resource"]
+    want = [(f"http://{v}/{i}", k, warc.split_http(b)[1], "2001-02-03T04:05:06Z") for v in (1, 2, 1) for i, (b, k) in enumerate(zip(blocks, kinds))]
+    assert sorted((r["uri"], r["record_type"], bytes(r["payload"]), r["date"]) for r in got) == sorted(want)
+    assert len({r["record_id"] for r in got}) == 15 and all(r["page_id"] is None for r in got)
+    bad = tmp_path / "bad"
+    bad.mkdir()
+    (bad / "cut.arc.gz").write_bytes(data[:-300])
+    with pytest.raises(Exception, match="ArchiveError"):
+        warc.convert(spark, str(bad), str(tmp_path / "out2"))
+
+
 def test_chats(spark):
     rng = random.Random(1)
     bits = ["</s>", "<s>", "[INST] ", " [/INST]", "<<SYS>>\n", "[ROLE=a]", "[/ROLE]", "&lt;", "&amp;", "&", "]", "a", " ", "\n", "é", "\\", "$1"]
@@ -79,7 +116,19 @@ def test_chat_machine(spark):
     rows = [(i, k, name[c], "t") for i, o in orders.items() for k, c in enumerate(o)]
     got = {r["conv_id"]: r["broken_at"] for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got == {0: None, 1: None, 2: None, 3: 1, 4: 0, 5: 1, 6: 1, 7: 2, 8: 1, 9: 1}
+    alone = spark.createDataFrame([(None, 0, "user", "a")] * 3 + [(1, 5, "user", "b")] * 2 + [(1, 5, "assistant", "c"), (1, None, None, None)], "conv_id long, turn long, role string, text string")
+    got = sorted((r["conv_id"] or 0, r["n_turns"], [(t["role"], t["text"]) for t in r["turns"]]) for r in chat.read_chats(chat.format_chats(alone)).collect())
+    assert got == [(0, 1, [("user", "a")])] * 3 + [(1, 4, [(None, ""), ("assistant", "c"), ("user", "b"), ("user", "b")])]
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_chats(empty).isEmpty() and chat.read_chats(chat.format_chats(empty)).isEmpty()
     plan = chat.read_chats(chat.format_chats(empty))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_op10_runs_its_machine(spark, tmp_path):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "assistant", "x"), (3, 0, "system", "s")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    made = chat.op10_chat(spark, str(tmp_path))
+    assert {r["conv_id"]: r["broken_at"] for r in made.collect()} == {1: None, 2: 0, 3: 1, -7: None}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert all(state in plan for state in chat.MACHINE) and "Python" not in plan
