@@ -2,16 +2,16 @@
 
 Every rule is evaluated once per document.  The ledger keeps the measurements
 and one bit per failed rule, so that a policy (a mask, versioned by name) and
-its ablations are bitwise arithmetic on the ledger and never touch text again.
-Built-in functions only.
+its ablations are bitwise arithmetic on the ledger and never touch text again.  A ledger can be kept (``write_ledger``): any
+later policy or ablation reads it in place of the texts.  Built-in functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, table, words
+from .common import SPACE, new_path, table, words
 
 WINDOW = 5
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
@@ -92,7 +92,9 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def keep(docs: DataFrame, text_col: str = "text", policy: str = "v1") -> DataFrame:
-    """The rows that the policy accepts, with all their columns."""
+    """The rows that the policy accepts, with all their columns, whatever their names.
+    Null and empty texts have no words; repeated rows and null ids are judged like
+    any other; no rows give none.  The text is read once, so nothing is shuffled."""
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col(text_col).alias("_text"))
     return apply_policy(_measured(rows, "_doc"), policy).where("kept").select(*[F.col("_doc")[c].alias(c) for c in names])
@@ -104,6 +106,23 @@ def apply_policy(rows: DataFrame, policy: str = "v1") -> DataFrame:
     return rows.withColumn("base_failed", hit(mask(BASE))).withColumn("kept", ~hit(mask(BASE)) & ~hit(mask(POLICIES[policy])))
 
 
+def write_ledger(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes the ledger of ``docs`` with the names of its bits, in order, for ``read_ledger``."""
+    ledger(docs, id_col, text_col).withColumn("rules", F.lit(",".join(RULES))).write.parquet(path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """A ledger as written, its failure bits in today's order of rules.  Rules that
+    it does not know are an error, as they would have to be evaluated."""
+    rows = spark.read.parquet(path)
+    old = rows.select("rules").distinct().limit(2).collect()
+    names = old[0]["rules"].split(",") if old else list(RULES)
+    if len(old) > 1 or not set(RULES) <= set(names):
+        raise ValueError(f"{path}: not a ledger of the rules {list(RULES)}")
+    bits = [F.when(F.col("failures").bitwiseAND(F.lit(1 << names.index(r))) != 0, F.lit(1 << b)).otherwise(F.lit(0)) for b, r in enumerate(RULES)]
+    return rows.withColumn("failures", sum(bits[1:], bits[0]).cast("long")).drop("rules")
+
+
 def ablations(rows: DataFrame, policy: str = "v1") -> DataFrame:
     """(rule, n_failed, n_only, kept_without): per rule of the policy how many
     rows fail it, fail no other rule, and would be kept without it.  Rows are
@@ -121,12 +140,23 @@ def ablations(rows: DataFrame, policy: str = "v1") -> DataFrame:
     )
 
 
+def quality_ablations(spark, sf_dir: str) -> DataFrame:
+    """Per policy and rule what the rule does, from a stored ledger of ``documents``."""
+    path = new_path(spark, "ledger")
+    write_ledger(table(spark, sf_dir, "documents"), path)
+    out = None
+    for policy in POLICIES:
+        rows = ablations(read_ledger(spark, path), policy).select(F.lit(policy).alias("policy"), "rule", "n_failed", "n_only", "kept_without")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def op2_quality(spark, sf_dir: str) -> DataFrame:
     rows = apply_policy(ledger(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
 
 
-OP2_SQL = r"""
+_LEDGER_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
@@ -153,7 +183,23 @@ f AS (
        + 8 * (100 * n_dup_lines > 50 * n_lines)::INT + 16 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT
        + 32 * (2 * n_upper > word_chars)::INT AS BIGINT) AS failures
   FROM m)
+"""
+
+OP2_SQL = (
+    _LEDGER_SQL
+    + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, failures = 0 AS kept, failures
 FROM f
 """
+)
+
+ABLATIONS_SQL = (
+    _LEDGER_SQL
+    + ", "
+    + f"""rules AS (SELECT * FROM (VALUES {", ".join(f"('{p}', '{r}', {1 << list(RULES).index(r)}, {mask(rules)})" for p, rules in POLICIES.items() for r in rules)}) v(policy, rule, bit, mask))
+SELECT policy, rule, count(*) FILTER (failures & bit <> 0) AS n_failed, count(*) FILTER (failures & mask = bit) AS n_only,
+       count(*) FILTER (failures & mask & ~bit = 0) AS kept_without
+FROM f, rules GROUP BY policy, rule
+"""
+)

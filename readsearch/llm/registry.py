@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license": license.op8_license,
         "op9_warc": warc.op9_warc,
         "op10_chat": chat.op10_chat,
+        "quality_ablations": quality.quality_ablations,
     }
 
 
@@ -34,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_license": license.OP8_SQL,
         "op9_warc": warc.OP9_SQL,
         "op10_chat": chat.OP10_SQL,
+        "quality_ablations": quality.ABLATIONS_SQL,
     }
