@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, new_path, table, words
+from .common import SPACE, new_path, removed, stored, table, words
 
 WINDOW = 5
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
@@ -148,6 +148,8 @@ def quality_ablations(spark, sf_dir: str) -> DataFrame:
     for policy in POLICIES:
         rows = ablations(read_ledger(spark, path), policy).select(F.lit(policy).alias("policy"), "rule", "n_failed", "n_only", "kept_without")
         out = rows if out is None else out.unionByName(rows)
+    out = stored(out)  # a row per policy and rule
+    removed(spark, path)
     return out
 
 
