@@ -2,12 +2,13 @@
 
 A fingerprint's Hamming distances to fixed reference fingerprints (pivots) are
 its coordinates.  Distance is a metric, so two fingerprints at distance d differ
-by d at most in every coordinate; and as it adds up over blocks of bits, of five
-blocks at least two must have no difference when d is 3 at most, which makes all
-coordinates restricted to those two blocks equal.  So:
+by d at most in every coordinate; and as it adds up over blocks of bits, of b
+blocks at least b - 3 must have no difference when d is 3 at most, which makes all
+coordinates restricted to those blocks equal.  So:
 
-1. for each pair of blocks the vector of restricted coordinates is a join key;
-   only distinct fingerprints take part, so exact copies cost one row;
+1. for each choice of b - 3 blocks the vector of restricted coordinates is a join
+   key; only distinct fingerprints take part, so exact copies cost one row.  The
+   more fingerprints, the more blocks, and so bits in a key: buckets stay small;
 2. within a bucket, pairs whose coordinates differ by more than 3 anywhere are
    discarded, the others are verified bit by bit;
 3. a bucket yields the edges of a spanning forest, never all of its pairs.
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import keep_rows, pieces, stored, text_hash
 from .components import roots
 
-BITS, REACH, BLOCKS, PIVOTS, CHUNK, SHINGLE = 64, 3, 5, 32, 256, 3
+BITS, REACH, PIVOTS, CHUNK, SHINGLE = 64, 3, 32, 256, 3
+#: Blocks, and the fingerprints up to which they do; keys have 25, 32, 36 and 40 bits.  Links are the same with any.
+BLOCKS = {5: 1 << 26, 6: 1 << 33, 7: 1 << 37, 8: 1 << 64}
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -44,7 +47,7 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return _mix(np.arange(1, n + 1, dtype=np.uint64) * _GOLD)
 
 
-def masks(blocks: int = BLOCKS) -> np.ndarray:
+def masks(blocks: int) -> np.ndarray:
     edges = [BITS * i // blocks for i in range(blocks + 1)]
     return np.array([sum(1 << b for b in range(x, y)) for x, y in zip(edges, edges[1:])], dtype=np.uint64)
 
@@ -80,9 +83,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return ids.mapInArrow(run, "doc_id long, th long, fp long")
 
 
-def bucket_keys(fps: DataFrame) -> DataFrame:
-    """(key, fp): a row per pair of blocks; the key stands for the coordinates."""
-    pairs = list(combinations(range(BLOCKS), BLOCKS - REACH))
+def bucket_keys(fps: DataFrame, blocks: int) -> DataFrame:
+    """(key, fp): a row per choice of blocks; the key stands for the coordinates."""
+    chosen = list(combinations(range(blocks), blocks - REACH))
 
     def run(batches):
         for b in batches:
@@ -90,13 +93,18 @@ def bucket_keys(fps: DataFrame) -> DataFrame:
             for at in range(0, len(x), 1 << 14):
                 part = x[at : at + (1 << 14)]
                 codes = []
-                for m in masks():
+                for m in masks(blocks):
                     code = np.zeros(len(part), dtype=np.uint64)
                     for lane in np.ascontiguousarray(distances(part, m)).view(np.uint64).T:
                         code = _mix(code * _GOLD + lane)
                     codes.append(code)
-                keys = [_mix(_mix(codes[i] + np.uint64(k + 1)) * _GOLD + codes[j]) for k, (i, j) in enumerate(pairs)]
-                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(part, len(pairs)).view(np.int64))], ["key", "fp"])
+                keys = []
+                for k, some in enumerate(chosen):
+                    key = np.full(len(part), k + 1, dtype=np.uint64)
+                    for i in some:
+                        key = _mix(key * _GOLD + codes[i])
+                    keys.append(key)
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(part, len(chosen)).view(np.int64))], ["key", "fp"])
 
     return fps.select("fp").mapInArrow(run, "key long, fp long")
 
@@ -154,7 +162,8 @@ def _links(batches):
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints that span each group of
     fingerprints reachable from one another within ``REACH`` bits."""
-    keys = bucket_keys(fps)
+    n = fps.count()
+    keys = bucket_keys(fps, next(b for b, most in BLOCKS.items() if n <= most))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j"))))
     dealt = (
