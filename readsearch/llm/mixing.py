@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table, words
+from .common import numbered, stored, table, words
 
 WEIGHTS, EPOCHS, SEED = (5, 2, 1), 3, "mix"
 SPLIT = 512  # key ranges of a level
@@ -31,7 +31,8 @@ def quality_weight(text: Column, size: Column) -> Column:
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> dict[str, Column]:
     """Columns that follow from a document alone, in the order they build on each other."""
     size = F.size(words(F.col(text_col))).cast("long")
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double")
+    named = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), named)), 1, 13), 16, 10).cast("double")
     return {
         "_sk": F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")),
         "_size": size,
@@ -45,23 +46,25 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: s
 def targets(sources: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """(_sk, source_size, target) from (_sk, source_size): the total is shared
     by weight; no source gets over ``epochs`` times its size, what it leaves is
-    shared again by weight.  Sources in code point order, null last."""
-    cap = F.lit(epochs) * F.col("source_size")
-    everything = Window.partitionBy()
-    ranked = sources.withColumn("_r", F.row_number().over(Window.orderBy(F.col("_sk") == "n", "_sk")) - 1)
-    w = F.element_at(F.array(*[F.lit(x).cast("long") for x in weights]), (F.col("_r") % len(weights) + 1).cast("int"))
-    full = Window.orderBy(cap / F.col("_w"), "_sk")
-    before = full.rowsBetween(Window.unboundedPreceding, -1)
-    rest = full.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    filled = ranked.withColumn("_w", w).select(
-        "_sk", "source_size", "_w",
-        F.sum("source_size").over(everything).alias("_t"),
-        (cap * F.sum("_w").over(rest) <= F.col("_w") * (F.sum("source_size").over(everything) - F.coalesce(F.sum(cap).over(before), F.lit(0)))).alias("_full"),
-    )
-    taken = F.sum(F.when(F.col("_full"), cap).otherwise(0)).over(everything)
-    open_w = F.sum(F.when(F.col("_full"), 0).otherwise(F.col("_w"))).over(everything)
-    share = (F.col("_w") * (F.col("_t") - taken)).cast("double") / open_w.cast("double")
-    return filled.select("_sk", "source_size", F.when(F.col("_full"), cap.cast("double")).otherwise(share).alias("target"))
+    shared again by weight.  Sources in code point order, null last.
+
+    The level to which all sources are filled rises until no further source is
+    full; each step is a sum over the stored sources, however many they are."""
+    w = F.element_at(F.array(*[F.lit(x).cast("long") for x in weights]), ((F.col("_r") - 1) % len(weights) + 1).cast("int"))
+    ranked = numbered(sources, [(F.col("_sk") == "n").asc(), F.asc("_sk")], "_r")
+    cap, wide = F.lit(epochs) * F.col("source_size"), lambda c: c.cast("decimal(19,0)")
+    shared = stored(ranked.select("_sk", "source_size", w.alias("_w"), cap.alias("_cap")))
+    sums = lambda rows: [int(x or 0) for x in rows.agg(F.sum("source_size"), F.sum("_w"), F.sum("_cap"), F.count("*")).first()]
+    total, all_w, _, _ = sums(shared)
+    left, open_w, n_full = total, all_w, -1
+    while True:
+        full = wide(F.col("_cap")) * wide(F.lit(open_w)) <= wide(F.col("_w")) * wide(F.lit(left))
+        _, full_w, full_cap, n = sums(shared.where(full))
+        if n == n_full:  # the sources from which left and open_w come
+            break
+        n_full, left, open_w = n, total - full_cap, all_w - full_w
+    share = (F.col("_w") * F.lit(left)).cast("double") / F.lit(float(open_w or 1))
+    return shared.select("_sk", "source_size", F.when(full, F.col("_cap").cast("double")).otherwise(share).alias("target"))
 
 
 def _cut(rows: DataFrame, plan: DataFrame, order: list[str]) -> DataFrame:
@@ -83,9 +86,9 @@ def plan(rows: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> tuple[DataFr
     budget = aimed.withColumn("_passes", passes).withColumn("_rest", (F.floor("target") - F.col("_passes") * F.col("source_size")).cast("long"))
     todo = budget.where("_rest > 0").select("_sk", "_rest")
     some = rows.where("_size > 0")
-    one = some.groupBy("_sk", F.shiftright("_bin", 9).alias("_b")).agg(F.sum("_size").alias("_n"))
+    one = some.groupBy("_sk", F.floor(F.col("_bin") / SPLIT).alias("_b")).agg(F.sum("_size").alias("_n"))
     one = stored(_cut(one, todo, ["_b"]))
-    inside = some.join(_small(one.select("_sk", "_b"), n), "_sk").where(F.shiftright("_bin", 9) == F.col("_b"))
+    inside = some.join(_small(one.select("_sk", "_b"), n), "_sk").where(F.floor(F.col("_bin") / SPLIT) == F.col("_b"))
     two = stored(_cut(inside.groupBy("_sk", "_bin").agg(F.sum("_size").alias("_n")), one, ["_bin"]))
     inside = some.join(_small(two.select("_sk", F.col("_bin").alias("_b")), n), "_sk").where("_bin = _b")
     last = _cut(inside.groupBy("_sk", "_k", "_id", "_tie").agg(F.sum("_size").alias("_n"), F.count("*").alias("_m")), two, ["_k", "_id", "_tie"])
@@ -104,9 +107,9 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     """(doc_id, source, size, source_size, target, taken): one row per row.
 
     Null and empty texts have size 0 and nothing taken; a null source is a
-    source of its own, in last place; rows without an id draw one key, ties are
-    broken by id and text, and rows alike in both share what is left at the
-    cut.  No rows: no sources.  Other columns of ``docs`` are never read.
+    source of its own, in last place; rows without an id draw by their text, ties
+    are broken by id and text, and rows alike in both share what is left at the
+    cut.  Texts may be of any length that a cell holds.  No rows: no sources.  Other columns of ``docs`` are never read.
     """
     cols = _keyed(docs, id_col, text_col, source_col, seed)
     rows = docs.select(F.col(id_col), F.col(text_col), F.col(source_col))
@@ -119,7 +122,12 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 def materialize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """The mixture itself, with the columns of ``docs``: a row for each pass over
-    a document, the last one cut after the words that are still wanted."""
+    a document, the last one cut after the words that are still wanted.
+
+    What is taken is as in ``mixture``, null sources, null ids, ties and repeated
+    rows included; rows of which nothing is taken, null and empty texts among
+    them, give no row.  No rows: none.  Other columns, whatever their names, are
+    passed on."""
     names = docs.columns
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col(id_col).alias("_i"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"))
     cols = _keyed(boxed, "_i", "_text", "_source", seed)
