@@ -69,9 +69,10 @@ def brute_components(rows, reach):
     return [(d, f"{fps[i]:016x}", least[find(i)]) for i, (d, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("chunk", [256, 2])
-def test_simhash_equals_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "blocks"), [(256, 5), (2, 5), (256, 7)])
+def test_simhash_equals_brute_force(spark, monkeypatch, chunk, blocks):
     monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "BLOCKS", {blocks: 1 << 64})
     rows = corpus(1)
     got = simhash.near_duplicates(docs(spark, rows)).select("doc_id", "fingerprint", "component_id").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_components(rows, 3)))
@@ -89,9 +90,10 @@ def test_pivot_links_lose_nothing():
     a, b = np.nonzero(near)
     table = simhash.distances(x).astype(int)
     assert np.abs(table[a] - table[b]).max() <= 3
-    blocks = simhash.masks()
-    same = sum((simhash.distances(x, m)[a] == simhash.distances(x, m)[b]).all(axis=1).astype(int) for m in blocks)
-    assert same.min() >= 2 and int(blocks.sum()) == 2**64 - 1
+    for n in simhash.BLOCKS:
+        blocks = simhash.masks(n)
+        same = sum((simhash.distances(x, m)[a] == simhash.distances(x, m)[b]).all(axis=1).astype(int) for m in blocks)
+        assert same.min() >= n - 3 and int(blocks.sum()) == 2**64 - 1
 
 
 def test_simhash_empty(spark):
@@ -125,12 +127,40 @@ def test_exact_equals_brute_force(spark):
     assert exact.exact_duplicates(docs(spark, [])).isEmpty() and exact.keep(docs(spark, [])).isEmpty()
 
 
-def test_exact_tells_colliding_fingerprints_apart(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [64, 1])
+def test_exact_tells_colliding_fingerprints_apart(spark, monkeypatch, hot):
     monkeypatch.setattr(exact, "text_print", lambda data, chunk=0: (1, 2, 3))
+    monkeypatch.setattr(exact, "HOT", hot)
     got = exact.exact_duplicates(docs(spark, [(1, "a"), (2, "b"), (3, "a"), (4, "b")])).collect()
     assert {r["doc_id"]: r["keep_id"] for r in got} == {1: 1, 2: 2, 3: 1, 4: 2}
 
 
+@pytest.mark.parametrize("hot", [64, 1])
+def test_exact_in_small_parts_equals_whole(spark, monkeypatch, hot):
+    monkeypatch.setattr(exact, "PART", 40)
+    monkeypatch.setattr(exact, "HOT", hot)
+    test_exact_equals_brute_force(spark)
+
+
+def test_exact_hot_text_is_folded_before_it_meets(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    plain = exact._compared
+
+    def counted(batches):
+        def passed():
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        yield from plain(passed())
+
+    monkeypatch.setattr(exact, "_compared", counted)
+    rows = spark.range(5000, numPartitions=500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 3, F.concat(F.lit("own "), "id")).otherwise("a hot text").alias("text"))
+    got = exact.exact_duplicates(rows).where("kept").agg(F.count("*"), F.max("group_size")).first()
+    assert tuple(got) == (501, 4500)
+    assert seen.value <= 500 + 2 * exact.SALTS  # a row per partition, then one per salt, none of them in a task with all
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=400), st.integers(1, 50), st.integers(0, 400))
 def test_prints_compose(data, chunk, cut):
@@ -146,7 +176,7 @@ def test_prints_compose(data, chunk, cut):
 def test_parts_of_a_document_give_its_print(spark):
     data = b"abc" * 50000 + b"\x00"
     parts = spark.createDataFrame([(1, 0, bytearray(data[:7])), (1, 1, bytearray(data[7:100000])), (1, 2, bytearray(data[100000:])), (2, 0, None)], "doc_id long, part_no long, data binary")
-    got = {r["doc_id"]: (r["fp"], r["n_bytes"]) for r in exact.part_prints(parts).collect()}
+    got = {r["doc_id"]: (r["fp"], r["n_bytes"]) for r in exact.part_prints(parts.select("doc_id", "part_no", "data")).collect()}
     p = exact.text_print(data)
     assert got == {1: (p[0] << 31 | p[1], len(data)), 2: (0, 0)}
 
@@ -170,9 +200,13 @@ def brute_removed(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_substring_equals_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "bits", "known"), [(4096, 27, 1 << 20), (1, 27, 1 << 20), (1, 27, 0), (3, 0, 1 << 20)])
+def test_substring_equals_brute_force(spark, monkeypatch, hot, bits, known):
+    """Anchors shared by few and by many; known by a bit table, or (no bits) by their
+    places; first documents of crowded windows sent to all tasks or joined."""
+    monkeypatch.setattr(substring, "KNOWN", known)
     monkeypatch.setattr(substring, "HOT", hot)
+    monkeypatch.setattr(substring, "TABLE_BITS", bits)
     rows = corpus(3) + [(7, "another text of an id that is used twice " * 3)]
     for length in (13, 4):
         got = substring.substring_duplicates(docs(spark, rows), length=length).collect()
@@ -184,10 +218,20 @@ def test_substring_equals_brute_force(spark, monkeypatch, hot):
 def test_anchors_cover_every_window():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 50, 500).astype(np.uint64)
-    g = substring._run_hash(x, 5, 1)
-    least = [min(g[i : i + 9]) for i in range(len(x) - 12)]
+    g = substring._run_hash(x, substring.GRAM, 1)
+    width = 13 - substring.GRAM + 1
     import pyarrow as pa
 
     batch = pa.record_batch([pa.array([1]), pa.array([0]), pa.array([x.view(np.int64)])], ["doc_id", "th", "w"])
-    _, _, at, _, anchor = substring._windows(batch, 13)
-    assert at.tolist() == list(range(len(x) - 12)) and anchor.tolist() == least
+    _, _, runs, at, _, place = substring._windows(batch, 13)
+    assert at.tolist() == list(range(len(x) - 12)) and (runs == g).all()
+    assert place.tolist() == [i + int(np.argmin(g[i : i + width])) for i in range(len(x) - 12)]
+
+
+def test_extension_needs_agreement_on_both_sides(spark):
+    """The anchor may agree while the words around it are those of two other documents."""
+    w = [f"w{i}" for i in range(60)]
+    a, b = w[:30], w[:12] + ["x"] + w[13:30]
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(["y", *w[5:17], "z"])), (4, " ".join(["y", *w[5:18], "z"]))]
+    got = {r["doc_id"]: [tuple(x) for x in r["repeats"]] for r in substring.substring_duplicates(docs(spark, rows)).collect()}
+    assert got == {1: [], 2: [(13, 30)], 3: [], 4: [(0, 14)]}
