@@ -32,34 +32,34 @@ def _numbered(number: Column) -> Column:
     return F.when(bad, F.lit("\ufffd")).otherwise(F.coalesce(known, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")))
 
 
-def _referenced(token: Column) -> Column:
-    """What a character reference stands for; any other token as it is."""
+def _referenced(token: Column, bare: bool) -> Column:
+    """What a character reference stands for; any other token as it is, and
+    without ``bare`` those that end in no semicolon."""
     digits = F.regexp_extract(token, "^&#0*([0-9]{1,8})", 1)
     hexes = F.regexp_extract(token, "^&#[xX]0*([0-9a-fA-F]{1,8})", 1)
     number = F.when(token.startswith("&#x") | token.startswith("&#X"), F.conv(F.concat(F.lit("0"), hexes), 16, 10)).otherwise(F.concat(F.lit("0"), digits)).cast("long")
-    bare = F.regexp_extract(token, f"^&({'|'.join(_BARE)})", 1)
-    by_name = F.coalesce(
-        F.try_element_at(_literal_map(_NAMES), F.substring(token, 2, 40)),
-        F.concat(F.try_element_at(_literal_map({n: html5[n] for n in _BARE}), bare), F.substring(token, F.length(bare) + 2, F.length(token))),
-        token,
-    )
-    return F.when(token.rlike("^&#"), _numbered(number)).when(token.rlike("^&[A-Za-z]"), by_name).otherwise(token)
+    name = F.regexp_extract(token, f"^&({'|'.join(_BARE)})", 1)
+    begun = F.concat(F.try_element_at(_literal_map({n: html5[n] for n in _BARE}), name), F.substring(token, F.length(name) + 2, F.length(token)))
+    by_name = F.coalesce(F.try_element_at(_literal_map(_NAMES), F.substring(token, 2, 40)), *([begun] if bare else []), token)
+    out = F.when(token.rlike("^&#"), _numbered(number)).when(token.rlike("^&[A-Za-z]"), by_name).otherwise(token)
+    return out if bare else F.when(token.endswith(";"), out).otherwise(token)
 
 
-def unescape_html(text: Column) -> Column:
-    """``text`` with its numeric and named character references resolved, each once."""
+def unescape_html(text: Column, bare: bool = True) -> Column:
+    """``text`` with its numeric and named character references resolved, each once.
+    ``bare`` takes those without a semicolon as HTML parsers do; else they are text."""
     tokens = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(1))
-    return F.when(text.contains("&"), F.array_join(F.transform(tokens, _referenced), "")).otherwise(text)
+    return F.when(text.contains("&"), F.array_join(F.transform(tokens, lambda t: _referenced(t, bare)), "")).otherwise(text)
 
 
-def page_title(html: Column) -> Column:
+def page_title(html: Column, bare: bool = True) -> Column:
     """The text of the first title element, trimmed of white space; empty without
     one or for null.  Titles in comments, scripts and the like are none; one that
-    is not closed goes on to the end."""
+    is not closed goes on to the end.  ``bare`` as in ``unescape_html``."""
     parts = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_PART), F.lit(0))
     title = F.get(F.filter(parts, lambda p: p.rlike("(?i)^<title")), F.lit(0))
     inner = F.regexp_replace(F.coalesce(title, F.lit("")), r"(?i)^<title\b[^>]*>|</title\b[^>]*>$", "")
-    return F.regexp_replace(unescape_html(inner), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(unescape_html(inner, bare), r"(?U)^\s+|\s+$", "")
 
 
 def title_or_domain(title: Column, url: Column) -> Column:

@@ -29,11 +29,12 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
-def page_entries(pages: DataFrame, events: DataFrame) -> DataFrame:
-    """Pages as bookmarks whose use count is the number of events of the user with the page's id."""
+def page_entries(pages: DataFrame, events: DataFrame, bare: bool = True) -> DataFrame:
+    """Pages as bookmarks whose use count is the number of events of the user with
+    the page's id.  ``bare`` as in ``unescape_html``."""
     uses = events.groupBy(F.col("user_id").alias("entry_id")).agg(F.count("*").alias("access_count"))
     rows = fixed(pages.select(
-        F.col("page_id").alias("entry_id"), F.lit("bookmark").alias("type"), page_title(F.col("html")).alias("title"), "url",
+        F.col("page_id").alias("entry_id"), F.lit("bookmark").alias("type"), page_title(F.col("html"), bare).alias("title"), "url",
         F.lit(None).cast("string").alias("command"), F.lit(None).cast("array<string>").alias("args"),
     ), "title")
     return rows.join(uses, "entry_id", "left").withColumn("access_count", F.coalesce("access_count", F.lit(0)).cast("long"))
