@@ -15,16 +15,17 @@ from .stage import numbered
 SCHEMA = "entry_id long, type string, title string, url string, command string, args array<string>, access_count long"
 
 
-def add_if_absent(entries: DataFrame, pages: DataFrame) -> DataFrame:
+def add_if_absent(entries: DataFrame, pages: DataFrame, bare: bool = True) -> DataFrame:
     """``entries`` and a bookmark for every address in ``pages`` (url, html) that
     no bookmark has; of pages with one address the first by content is taken.
-    Null addresses are ignored.  New ids follow the greatest one, in order of address."""
+    Null addresses are ignored.  New ids follow the greatest one, in order of address.
+    ``bare`` as in ``unescape_html``."""
     fresh = pages.where("url IS NOT NULL").groupBy("url").agg(F.min(F.coalesce("html", F.lit(""))).alias("html"))
     fresh = fresh.join(entries.where("type = 'bookmark'").select("url"), "url", "left_anti")
     top = entries.agg(F.coalesce(F.max("entry_id"), F.lit(-1))).scalar()
     new = numbered(fresh, [F.asc("url")], "_place").select(
         (top + F.col("_place")).cast("long").alias("entry_id"), F.lit("bookmark").alias("type"),
-        title_or_domain(page_title(F.col("html")), F.col("url")).alias("title"), "url",
+        title_or_domain(page_title(F.col("html"), bare), F.col("url")).alias("title"), "url",
         F.lit(None).cast("string").alias("command"), F.lit(None).cast("array<string>").alias("args"), F.lit(0).cast("long").alias("access_count"),
     )
     return entries.select(*new.columns).unionByName(new)
